@@ -1,6 +1,8 @@
-"""All queries of the library with their oracle SQL."""
+"""All queries of the object log with their oracle SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tidelog.plans.oracle import ORACLE_SQL
+from tidelog.plans.queries import QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
