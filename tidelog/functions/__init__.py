@@ -20,13 +20,13 @@ def java_hash(text: Column) -> Column:
 
     Code points are UTF-16 units but for supplementary ones, whose texts are read from their UTF-16 bytes.
     """
-    chars, units = F.char_length(text), F.encode(text, "UTF-16BE")
-    n = (F.octet_length(units) / 2).cast("int")
-    point = lambda i: F.ascii(F.substring(text, i, F.lit(1)))
-    unit = lambda i: F.conv(F.hex(F.substring(units, i * 2 - 1, F.lit(2))), 16, 10).cast("bigint")
-    fold = lambda n, at: F.aggregate(F.sequence(F.lit(1), n), F.lit(0).cast("bigint"), lambda a, i: (a * 31 + at(i)).bitwiseAND(0xFFFFFFFF))
-    total = F.when(chars == 0, 0).when(n == chars, fold(chars, point)).otherwise(fold(n, unit))
-    return F.when(total >= 1 << 31, total - (1 << 32)).otherwise(total)
+    start, step = F.lit(0).cast("bigint"), lambda a, x: (a * 31 + x).bitwiseAND(0xFFFFFFFF)
+    by_point = F.aggregate(F.split(text, ""), start, lambda a, c: step(a, F.ascii(c)))
+    unit = lambda u, i: F.conv(F.hex(F.substring(u, i * 2 - 1, F.lit(2))), 16, 10).cast("bigint")
+    of = lambda u: F.aggregate(F.sequence(F.lit(1), (F.octet_length(u) / 2).cast("int")), start, lambda a, i: step(a, unit(u, i)))
+    units = F.encode(text, "UTF-16BE")
+    total = F.when(F.octet_length(units) == 2 * F.char_length(text), by_point).otherwise(F.transform(F.array(units), of)[0])
+    return total.bitwiseXOR(1 << 31) - (1 << 31)
 
 
 def partition_of(bucket: Column, key: Column, n: int = 16) -> Column:
