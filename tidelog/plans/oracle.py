@@ -155,7 +155,7 @@ WITH {RING.replace('{view}', DOC).replace('{lost}', '2').replace('{last}', '1')}
 SELECT bucket, key, count(*) FILTER (NOT is_lost)::BIGINT AS n_present, CASE WHEN count(*) FILTER (NOT is_lost) = 0 THEN 'plain' ELSE 'shards' END AS source FROM sh GROUP BY bucket, key""",
     "bucket_semi_join": f"SELECT bucket, key, size FROM ({DOC}) WHERE bucket NOT IN ('de', 'fr')",
     "internal_bucket_guard": f"SELECT CASE WHEN bucket = 'es' THEN '__sys_shards__' ELSE bucket END AS bucket, key, (CASE WHEN bucket = 'es' THEN 403 ELSE 200 END)::INT AS status FROM ({DOC})",
-    "sync_from_offset": f"WITH {RECORDS} SELECT key, partition_id, segment_id, record_start, op FROM rec WHERE segment_id > 3 OR segment_id = 3 AND record_start >= 32868",
+    "sync_from_offset": f"WITH {RECORDS} SELECT key, partition_id, segment_id, record_start, op FROM rec WHERE segment_id > 3 OR segment_id = 3 AND record_start >= 32868 OR NOT EXISTS (SELECT 1 FROM rec WHERE segment_id = 3)",
     "command_apply": live(EVENT, "event_id").replace("strlen(value)::BIGINT AS size, ", ""),
     "rebuild_equals_index": f"WITH l AS (SELECT *, {PART} AS partition_id FROM ({live(ITEM, ITEM_SEQ)})) SELECT partition_id, count(*) AS n_live, count(*) AS n_again, true AS equal FROM l GROUP BY partition_id",
     "latency_percentiles": """

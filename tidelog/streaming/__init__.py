@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidelog.operators.log import live_index
 
-COMMANDS = T.StructType.fromDDL("term bigint, idx bigint, op string, bucket string, key string, value string")
+COMMANDS = "term bigint, idx bigint, op string, bucket string, key string, value string"
 
 
 def apply_stream(spark: SparkSession, source: str, state: str, checkpoint: str, per_batch: int = 1):
