@@ -19,9 +19,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Words whose ids a Python worker remembers; beyond that it starts afresh.
-CACHE = 700_000
+CACHE = 150_000
 #: Rows and bytes of texts encoded together at most (one longer text is a batch of its own).
-BATCH_ROWS, BATCH_BYTES = 5_000, 6_000_000
+BATCH_ROWS, BATCH_BYTES = 2_000, 2_500_000
 NONE = np.int64(1 << 40)
 #: Pieces of a text at whose borders the pre-tokenizer always splits: letters, other runs, white space.
 PIECES = re.compile(r" ?[^\W\d_]+(?!\w)| ?\S+|\s+(?!\S)|\s+")
@@ -229,6 +229,7 @@ def text_batches(batch: pa.RecordBatch):
         n = max(1, int(np.searchsorted(np.cumsum(size[at : at + BATCH_ROWS]), BATCH_BYTES, "right")))
         yield at, texts.slice(at, n)
         at += n
+        pa.default_memory_pool().release_unused()
 
 
 def encode_decode(docs: DataFrame, path: str, texts: bool = False) -> DataFrame:

@@ -109,7 +109,7 @@ def _without(docs: DataFrame, cuts: DataFrame) -> DataFrame:
     both = docs.withColumn("_key", F.col("doc_id")).join(cuts, F.col("_key").eqNullSafe(F.col("_id")), "left").select(*names, "cut")
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             texts, gone = batch.column("text").to_pylist(), [0] * batch.num_rows
             for k, cut in enumerate(batch.column("cut")):
                 if cut.is_valid and texts[k]:
