@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A table of at most this many rows (of a few dozen bytes each) is broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
+#: Rows and bytes of texts that a Python worker gets at once while a work table is written: bounds executors' memory.
+ARROW_ROWS, ARROW_BYTES = 2_000, 4_000_000
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -22,6 +25,20 @@ def work_dir(spark: SparkSession) -> str:
     return shared
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it, plans that run hand Python workers at most ARROW_ROWS rows and ARROW_BYTES bytes at once."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": ARROW_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": ARROW_BYTES}
+    before = {k: spark.conf.get(k, None) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, str(v))
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def saved(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
@@ -29,7 +46,8 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     exchanges of their own, so that adaptive execution can split skewed partitions.
     """
     path = f"{work_dir(df.sparkSession)}/tidelog-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tidelog_path = path
     return out
