@@ -8,6 +8,7 @@ of Parquet, so that every store that Spark writes can hold them, in ascending or
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -86,6 +87,7 @@ class Library(PieceCoder):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -95,7 +97,7 @@ class Library(PieceCoder):
         super().__init__()
 
     def plain(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)  # without offsets
 
     def learn(self, pieces: list[str]) -> list[bytes]:
         """Pieces without white space (but a leading blank) are encoded as the lines of one text, the rest one by one."""
