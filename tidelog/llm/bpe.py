@@ -2,7 +2,7 @@
 
 The symbols of many words lie in one flat array. Each round looks up the ranks of all neighbouring pairs by binary
 search over the sorted pair keys, takes the lowest rank of every word, and merges all its occurrences at once; words
-without a known pair leave the array. A worker keeps the ids of the words that it has met (at most CACHE of them).
+without a known pair leave the array. A worker keeps the ids of words that it has met lately (twice YOUNG and two batches).
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-#: Words whose ids a Python worker remembers; beyond that it starts afresh.
-CACHE = 150_000
+#: Pieces after which a Python worker's young cache becomes the old one. Pieces of the old one that are met again move
+#: to the young one; the rest are forgotten with the next change.
+YOUNG = 50_000
 #: Rows and bytes of texts encoded together at most (one longer text is a batch of its own).
 BATCH_ROWS, BATCH_BYTES = 2_000, 2_500_000
 NONE = np.int64(1 << 40)
@@ -68,9 +69,11 @@ class PieceCoder:
     """Encodes whole texts from the ids of their distinct pieces; learn() gives those of pieces that are new."""
 
     added: dict[str, int]
+    young = YOUNG
 
     def __init__(self):
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.special = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
         self.uneven = UNEVEN + "".join("|" + re.sub(r"([^\w])", r"\\\1", x) for x in self.added)
 
@@ -82,12 +85,14 @@ class PieceCoder:
         raise NotImplementedError
 
     def ids_of(self, pieces: list[str]) -> list[bytes]:
+        if len(self.known) > self.young:
+            self.older, self.known = self.known, {}
         got = list(map(self.known.get, pieces))
-        new = [p for p, x in zip(pieces, got) if x is None]
-        if new:
-            if len(self.known) > CACHE:
-                self.known.clear()
-            fresh = dict(zip(new, self.learn(new)))
+        missed = [p for p, x in zip(pieces, got) if x is None]
+        if missed:
+            fresh = dict(zip(missed, map(self.older.get, missed)))
+            new = [p for p, x in fresh.items() if x is None]
+            fresh.update(zip(new, self.learn(new)))
             got = [fresh[p] if x is None else x for p, x in zip(pieces, got)]
             self.known.update(fresh)
         return got

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from tidelog.llm.bpe import ODD, PIECES, PieceCoder, per_worker, text_batches
 from tidelog.llm.common import BROADCAST_ROWS
 
-#: Pieces that can be lines of a text without a change to their ids.
-LINE = re.compile(r" ?\S+")
+#: Pieces that can be lines of a text without a change to their ids, and how many make a text.
+LINE, LINES = re.compile(r" ?\S+"), 1_000
 MAGIC, BLOCK = b"TLPK", 4096
 HEAD = "<4sHHIQI"  # magic, version, bits, documents, ids, ids in a block
 #: Ids in an image before the next one begins; one longer document is an image of its own.
@@ -84,6 +84,8 @@ class Image:
 class Library(PieceCoder):
     """The tokenizers library's encoder behind a cache of pieces at whose borders its pre-tokenizer always splits."""
 
+    young = 200_000
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -93,29 +95,32 @@ class Library(PieceCoder):
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.break_ids = self.plain("\n")
+        self.break_ids = self.plain(["\n"])[0]
         super().__init__()
 
-    def plain(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)  # without offsets
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]  # without offsets
 
     def learn(self, pieces: list[str]) -> list[bytes]:
-        """Pieces without white space (but a leading blank) are encoded as the lines of one text, the rest one by one."""
-        is_line = [bool(LINE.fullmatch(p)) and not ODD.search(p) for p in pieces]
-        lines = [p for p, x in zip(pieces, is_line) if x]
-        whole = self.plain("\n".join(lines))
-        ends = np.append(np.flatnonzero(whole == self.break_ids[0]), len(whole)) if lines else np.empty(0, int)
-        if len(self.break_ids) != 1 or len(ends) != len(lines):
-            return [self.plain(p).tobytes() for p in pieces]
-        raw, at, out = whole.tobytes(), 0, []
-        cuts = iter(ends.tolist())
-        for p, x in zip(pieces, is_line):
-            if x:
-                end = next(cuts)
-                out.append(raw[4 * at : 4 * end])
-                at = end + 1
+        """Pieces without white space (but a leading blank) are encoded as the lines of texts, the rest one by one."""
+        lines = list(filter(LINE.fullmatch, pieces))
+        told = dict(zip(lines, self.of_lines(lines)))
+        rest = [p for p in pieces if p not in told]
+        told.update(zip(rest, (x.tobytes() for x in self.plain(rest))))
+        return list(map(told.__getitem__, pieces))
+
+    def of_lines(self, lines: list[str]) -> list[bytes]:
+        if len(self.break_ids) != 1:
+            return []
+        out = []
+        for at, ids in zip(range(0, len(lines), LINES), self.plain(["\n".join(lines[i : i + LINES]) for i in range(0, len(lines), LINES)])):
+            some = lines[at : at + LINES]
+            ends = [*(4 * np.flatnonzero(ids == self.break_ids[0])).tolist(), 4 * len(ids)]
+            raw = ids.tobytes()
+            if len(ends) == len(some):
+                out += [raw[i:j] for i, j in zip([0, *(e + 4 for e in ends)], ends)]
             else:
-                out.append(self.plain(p).tobytes())
+                out += [x.tobytes() for x in self.plain(some)]
         return out
 
     def cut(self, text: str) -> list[str]:
