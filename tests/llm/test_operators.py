@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -384,6 +385,38 @@ def test_near_copies(spark, odd):
     assert neardup.one_of_each(odd.limit(0)).count() == 0 and 0 < neardup.one_of_each(odd).count() < odd.count()
 
 
+def test_long_keys_have_minimum_forests(monkeypatch):
+    """By blocks of rows, and row by row where pairs are dense: as many pairs, and the same sum of distances."""
+    rng = np.random.default_rng(3)
+    key = np.repeat([0, 1, 2, 3], [3, 200, 65, 300])
+    f = rng.integers(0, 1 << 63, (len(key), 2)).astype(np.uint64)
+    for k in range(1, len(key)):
+        if key[k] == key[k - 1] and rng.random() < 0.3:
+            f[k] = f[k - 1] ^ (np.uint64(1) << rng.integers(0, 64, 2).astype(np.uint64))
+    cols = [pa.array(np.arange(len(key))), *[pa.array(f[:, c].view(np.int64)) for c in (0, 1)], pa.array(key)]
+    rows = pa.RecordBatch.from_arrays(cols, ["node", "f0", "f1", "key"])
+
+    def sums():
+        out = list(neardup._pairs(neardup.HALF_BUDGET)(iter([rows])))
+        return sum(x.num_rows for x in out), sum(sum(x.column("d").to_pylist()) for x in out)
+
+    blocks = sums()
+    monkeypatch.setattr(neardup, "DENSE", -1)
+    assert blocks == sums() and blocks[0] > 100
+
+
+@pytest.mark.parametrize("kind", [bpe.Encoder, tokenfile.Library])
+def test_caches_forget_without_a_change_to_ids(kind, monkeypatch):
+    monkeypatch.setattr(kind, "young", 5)
+    monkeypatch.setattr(tokenfile, "LINES", 3)
+    rng, coder, fresh = random.Random(29), kind(VOCAB), kind(VOCAB)
+    for _ in range(30):
+        texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(9)) + rng.choice(["", ".", "  x", "\n"]) for _ in range(3)]
+        fresh.known, fresh.older = {}, {}
+        assert [x.tolist() for x in coder.encode_batch(texts)] == [x.tolist() for x in fresh.encode_batch(texts)] == [x.ids for x in tokenfile.Library(VOCAB).tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert len(coder.older) < 60
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from tidelog.llm import queries

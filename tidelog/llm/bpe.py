@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 #: Pieces after which a Python worker's young cache becomes the old one. Pieces of the old one that are met again move
 #: to the young one; the rest are forgotten with the next change.
-YOUNG = 50_000
+YOUNG = 20_000
 #: Rows and bytes of texts encoded together at most (one longer text is a batch of its own).
 BATCH_ROWS, BATCH_BYTES = 2_000, 2_500_000
 NONE = np.int64(1 << 40)
