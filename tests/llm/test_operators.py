@@ -240,6 +240,16 @@ def test_decontamination(spark, odd):
     assert winnow.decontaminate(odd.limit(0), bench).count() == 0
 
 
+def test_contaminated_rows_leave_clean_rows_of_their_doc_id(spark):
+    rng = random.Random(31)
+    item = prose(rng, 30, 9000)
+    texts = [item, prose(rng, 60, 9000), prose(rng, 60, 9000), item, prose(rng, 60, 9000), None]
+    df = docs_of(spark, texts, ids=[None, None, None, 5, 5, None])
+    kept = winnow.without_contaminated(df, spark.createDataFrame([(1, item)], "item_id bigint, text string"))
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted((d or 0, t or "") for d, t in zip([None, None, 5, None], [texts[1], texts[2], texts[4], None]))
+
+
 def test_every_long_shared_span_has_a_common_fingerprint(spark):
     rng = random.Random(11)
     for _ in range(3):

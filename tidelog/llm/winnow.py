@@ -94,6 +94,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, part: int = 20) -> Data
     windows; an item given twice counts as one if its ids are equal. Rows equal in doc_id and text give equal results.
     Of docs only doc_id and text are read, of benchmark item_id and text. Empty tables: no hits, or no rows.
     """
+    return _judged(docs, benchmark, part).drop("text_hash")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, part: int) -> DataFrame:
+    """The rows of decontaminate() with text_hash."""
     read, at = hits(docs, benchmark)
     at = saved(at, "hits")
     per_doc = Window.partitionBy("doc_id", "text_hash").orderBy("start", "end")
@@ -109,6 +114,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, part: int = 20) -> Data
     n_hit, items = F.coalesce("n_hit", F.lit(0)).cast("bigint"), F.coalesce("items", F.expr("cast(array() as array<string>)"))
     return out.select(
         "doc_id",
+        "text_hash",
         "n_words",
         n_hit.alias("n_hit"),
         F.size(items).cast("bigint").alias("n_items"),
@@ -118,6 +124,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, part: int = 20) -> Data
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, part: int = 20) -> DataFrame:
-    """The rows of docs, all columns, that decontaminate() doesn't call contaminated."""
-    bad = saved(decontaminate(docs, benchmark, part).where("contaminated").select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
-    return docs.join(small(bad), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """The rows of docs, all columns, that decontaminate() doesn't call contaminated.
+
+    Rows go by doc_id and text: a clean row stays though another of its doc_id, or without one, is contaminated.
+    """
+    bad = _judged(docs, benchmark, part).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    bad = saved(bad.distinct(), "contaminated")
+    return docs.join(small(bad), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
