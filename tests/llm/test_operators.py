@@ -364,6 +364,20 @@ def test_spans(spark, odd):
     assert out.columns == odd.columns and out.count() == odd.count() and spans.dedup(odd.limit(0)).count() == 0
 
 
+def test_cuts_apply_to_the_text_that_repeats(spark):
+    rng = random.Random(37)
+    sent = lambda: " ".join(f"v{rng.randrange(90000)}" for _ in range(10)).capitalize() + "."
+    passage = " ".join(sent() for _ in range(4))
+    # 0 and 1: the passage at one place of two rows; 2: twice in a row; 3: unique
+    texts = [" ".join(sent() for _ in range(4)) + " " + passage + " " + sent() for _ in range(2)]
+    texts += [passage + " " + passage + " " + sent(), " ".join(sent() for _ in range(12))]
+    for d in (None, 7):
+        out = spans.dedup(docs_of(spark, texts, ids=[d] * 4)).collect()
+        got = {t: next(r.text for r in out if r.text.split()[-1] == t.split()[-1]) for t in texts}
+        assert got[texts[3]] == texts[3] and sum(x.count(passage) for x in got.values()) == 1
+        assert all(got[t] in (t, t.replace(passage + " ", ""), t.replace(passage + " ", "", 1)) for t in texts)
+
+
 def jaccard(a, b, n=5):
     of = lambda t: {tuple(t.lower().split()[i : i + n]) for i in range(max(1, len(t.split()) - n + 1))}
     return len(of(a) & of(b)) / len(of(a) | of(b))

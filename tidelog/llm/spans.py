@@ -1,8 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
 From every sentence goes the shortest run of at least MIN_SENTENCES sentences and MIN_WORDS words, forwards and backwards; runs are
-hashed and joined globally. A sentence goes if a run that covers it occurred before: the first occurrence, by doc_id and
-position, stays. With runs in both directions, a passage repeated between sentence borders is covered whole if it has that many
+hashed and joined globally. A sentence goes if a run that covers it occurred before: the first occurrence, by doc_id, hash of
+the text and position, stays. With runs in both directions, a passage repeated between sentence borders is covered whole if it has that many
 sentences and words; a sentence of LONG words or more is a run by itself.
 """
 
@@ -49,7 +49,7 @@ def _hash(parts: list[str]) -> int:
 
 
 def spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, long: int = LONG) -> DataFrame:
-    """doc_id, hash, start, end of every run of every text."""
+    """doc_id, text_hash, hash, start, end of every run of every text."""
 
     def run(batches):
         for batch in batches:
@@ -66,34 +66,37 @@ def spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int =
                         hashes.append(xxhash.xxh64_intdigest(" ".join(clean[i:j]).encode("utf-8", "replace")))
                         starts.append(i)
                         ends.append(j)
+                of = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(row, pa.int64())), pa.array(np.array(hashes, np.uint64).astype(np.int64)), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())],
-                    ["doc_id", "hash", "start", "end"],
+                    [part.column("doc_id").take(of), part.column("text_hash").take(of), pa.array(np.array(hashes, np.uint64).astype(np.int64)), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())],
+                    ["doc_id", "text_hash", "hash", "start", "end"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, hash bigint, start int, end int")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash bigint, hash bigint, start int, end int")
 
 
 def repeated(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, starts, ends of the runs of each document that occurred before, in order of (doc_id, start)."""
+    """doc_id, text_hash, starts, ends of the runs of each document that occurred before, in order of (doc_id, text_hash, start)."""
     found = saved(spans(docs, **how), "spans")
     # one row a hash and task goes into the shuffle, however often a run stands
     many = found.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).where("n > 1")
     many = saved(many.select("hash", F.when(F.col("nulls") == 0, F.col("doc")).alias("first")), "many")
     again = saved(found.join(many, "hash"), "again")
-    own = again.where(F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("hash").agg(F.min("start").alias("at"))
+    own = again.where(F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("hash", "text_hash").agg(F.min("start").alias("at"))
+    own = own.groupBy("hash").agg(F.min(F.struct("text_hash", "at")).alias("x")).select("hash", F.col("x.text_hash").alias("first_hash"), F.col("x.at").alias("at"))
     own = saved(own, "own")
-    later = again.join(own, "hash").where(~F.col("doc_id").eqNullSafe(F.col("first")) | (F.col("start") > F.col("at")))
-    return later.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("cut"))
+    before = F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("text_hash") == F.col("first_hash")) & (F.col("start") <= F.col("at"))
+    later = again.join(own, "hash").where(~before)
+    return later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("cut"))
 
 
 def dedup(docs: DataFrame, **how) -> DataFrame:
     """docs, all columns, with text without the sentences that a repeated run covers.
 
-    Left are all rows, texts without repeats as they are, null texts null. Text that becomes blank is empty. Rows of
-    one doc_id count as one document (a run at one place of both isn't repeated); null doc_ids as one that comes
-    first. n_chars, where there is such a column of longs, is set anew. Empty input: empty result.
+    Left are all rows, texts without repeats as they are, null texts null. Text that becomes blank is empty. Rows
+    equal in doc_id and text count as one document (a run at one place of both isn't repeated); rows of one doc_id and
+    other texts are documents of their own, in order of the hash of the text. Null doc_ids come first. n_chars, where there is such a column of longs, is set anew. Empty input: empty result.
     """
     return _without(docs, repeated(docs, **how)).drop("n_removed")
 
@@ -105,8 +108,9 @@ def dedup_report(docs: DataFrame, **how) -> DataFrame:
 
 def _without(docs: DataFrame, cuts: DataFrame) -> DataFrame:
     names = docs.columns
-    cuts = saved(cuts, "cuts").withColumnRenamed("doc_id", "_id")
-    both = docs.withColumn("_key", F.col("doc_id")).join(cuts, F.col("_key").eqNullSafe(F.col("_id")), "left").select(*names, "cut")
+    cuts = saved(cuts, "cuts").withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    keyed = docs.withColumns({"_key": F.col("doc_id"), "_text": F.xxhash64("text")})
+    both = keyed.join(cuts, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left").select(*names, "cut")
 
     def run(batches):
         for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
