@@ -409,6 +409,16 @@ def test_near_copies(spark, odd):
     assert neardup.one_of_each(odd.limit(0)).count() == 0 and 0 < neardup.one_of_each(odd).count() < odd.count()
 
 
+def test_equal_fingerprints_alone_join_nothing(spark):
+    rng = random.Random(41)
+    texts = [prose(rng, 120, 90000) for _ in range(3)]
+    texts += [texts[0].upper().replace(" ", "\n ")]
+    line = " " + " ".join(f"line{k}" for k in range(11))
+    texts = [prose(rng, 300, 90000) + 200 * line for _ in range(2)] + texts
+    at = {r.doc_id: r.component_id for r in neardup.duplicates(docs_of(spark, texts)).collect()}
+    assert at == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 2}
+
+
 def test_long_keys_have_minimum_forests(monkeypatch):
     """By blocks of rows, and row by row where pairs are dense: as many pairs, and the same sum of distances."""
     rng = np.random.default_rng(3)
