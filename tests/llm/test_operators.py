@@ -419,6 +419,17 @@ def test_equal_fingerprints_alone_join_nothing(spark):
     assert at == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 2}
 
 
+def test_repeated_lines_count_once_in_wide_fingerprints(spark):
+    rng = random.Random(43)
+    texts = []
+    for _ in range(10):
+        base = prose(rng, 300, 90000).split()
+        texts += [" ".join(base), " ".join(base + 20 * base[-10:])]
+    at = {r.doc_id: r.component_id for r in neardup.duplicates(docs_of(spark, texts)).collect()}
+    assert all(jaccard(texts[2 * k], texts[2 * k + 1]) > 0.95 for k in range(10))
+    assert at == {k: k - k % 2 for k in range(20)}
+
+
 def test_long_keys_have_minimum_forests(monkeypatch):
     """By blocks of rows, and row by row where pairs are dense: as many pairs, and the same sum of distances."""
     rng = np.random.default_rng(3)
