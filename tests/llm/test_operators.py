@@ -430,6 +430,44 @@ def test_repeated_lines_count_once_in_wide_fingerprints(spark):
     assert at == {k: k - k % 2 for k in range(20)}
 
 
+def test_no_pair_within_the_budget_goes_unchecked(spark):
+    """A family of texts below the similarity, with copies among them, against all pairs that share a key."""
+    rng = random.Random(47)
+    base = prose(rng, 200, 90000).split()
+
+    def edited(words, n):
+        out = list(words)
+        for k in rng.sample(range(len(out)), n):
+            out[k] = f"e{rng.randrange(90000)}"
+        return out
+
+    family = [edited(base, 4) for _ in range(300)]
+    texts = [" ".join(x) for x in family + [edited(x, 2) for x in family[:20]]]
+    of = [set(neardup.distinct_shingles(x, 5).tolist()) for x in texts]
+    bits = np.stack([neardup.wide_fingerprint(x, 5) for x in texts])
+    bytes_ = bits.view(np.uint8).reshape(len(texts), 32)
+    pairs, root = 0, list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(of[i] & of[j]) >= 0.8 * len(of[i] | of[j]) - 1e-9:
+                same = bytes_[i] == bytes_[j]
+                shared = any(same[k] and same[(k + s) % 32] for s in neardup.STEPS for k in range(32))
+                if shared and np.bitwise_count(bits[i, :2] ^ bits[j, :2]).sum() <= neardup.HALF_BUDGET:
+                    pairs += 1
+                    root[find(i)] = find(j)
+    least = {}
+    for k in range(len(texts)):
+        least.setdefault(find(k), k)
+    at = {r.doc_id: r.component_id for r in neardup.duplicates(docs_of(spark, texts)).collect()}
+    assert pairs > 20 and at == {k: least[find(k)] for k in range(len(texts))}
+
+
 def test_long_keys_have_minimum_forests(monkeypatch):
     """By blocks of rows, and row by row where pairs are dense: as many pairs, and the same sum of distances."""
     rng = np.random.default_rng(3)
