@@ -94,20 +94,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, part: int = 20) -> Data
     windows; an item given twice counts as one if its ids are equal. Rows equal in doc_id and text give equal results.
     Of docs only doc_id and text are read, of benchmark item_id and text. Empty tables: no hits, or no rows.
     """
-    return _judged(docs, benchmark, part).drop("text_hash")
+    return _judged(docs, benchmark, part).drop("text_hash", "holds_span")
 
 
 def _judged(docs: DataFrame, benchmark: DataFrame, part: int) -> DataFrame:
-    """The rows of decontaminate() with text_hash."""
+    """The rows of decontaminate() with text_hash, and holds_span: whether a whole window of SPAN words occurs."""
     read, at = hits(docs, benchmark)
     at = saved(at, "hits")
     per_doc = Window.partitionBy("doc_id", "text_hash").orderBy("start", "end")
     spans = at.groupBy("doc_id", "text_hash", "start").agg(F.max("end").alias("end"))
+    whole = F.bool_or(F.col("end") - F.col("start") >= SPAN).alias("holds_span")
     reach = F.coalesce(F.max("end").over(per_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    words = spans.withColumn("n", F.greatest(F.lit(0), F.col("end") - F.greatest("start", reach))).groupBy("doc_id", "text_hash").agg(F.sum("n").alias("n_hit"))
+    words = spans.withColumn("n", F.greatest(F.lit(0), F.col("end") - F.greatest("start", reach))).groupBy("doc_id", "text_hash").agg(F.sum("n").alias("n_hit"), whole)
     of = at.select("doc_id", "text_hash", F.col("item_id").cast("string").alias("item")).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("item")).alias("items"))
     found = words.join(of, (words.doc_id.eqNullSafe(of.doc_id)) & (words.text_hash == of.text_hash)).select(
-        words.doc_id.alias("_id"), words.text_hash.alias("_hash"), "n_hit", "items"
+        words.doc_id.alias("_id"), words.text_hash.alias("_hash"), "n_hit", "items", "holds_span"
     )
     found = saved(found, "found")
     out = read.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
@@ -120,14 +121,17 @@ def _judged(docs: DataFrame, benchmark: DataFrame, part: int) -> DataFrame:
         F.size(items).cast("bigint").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (part * n_hit >= F.col("n_words"))).alias("contaminated"),
+        F.coalesce("holds_span", F.lit(False)).alias("holds_span"),
     )
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, part: int = 20) -> DataFrame:
-    """The rows of docs, all columns, that decontaminate() doesn't call contaminated.
+    """The rows of docs, all columns, in which no window of SPAN words of an item occurs, however long the text is.
 
-    Rows go by doc_id and text: a clean row stays though another of its doc_id, or without one, is contaminated.
+    Items of fewer words may stand in a long text by chance; their hits count where decontaminate() calls the row
+    contaminated. Rows go by doc_id and text: a clean row stays though another of its doc_id, or without one, goes.
+    Null and empty texts stay.
     """
-    bad = _judged(docs, benchmark, part).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    bad = _judged(docs, benchmark, part).where("holds_span or contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     bad = saved(bad.distinct(), "contaminated")
     return docs.join(small(bad), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
