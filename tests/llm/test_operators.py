@@ -110,6 +110,69 @@ def test_minimum_cut_is_minimal():
         assert abs(value(html.minimum_cut(costs, edges)) - best) < 1e-9
 
 
+ARTICLE = "<article><h1>The title of it</h1><p>One.</p><p>A paragraph with some words in it, enough.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="layout with-sidebar">%s</div>', '<div class="has-search">%s', '<form id="aspnetForm">%s</form>', "<div class=sidebar>%s</div><aside>Other things to read.</aside>",
+        '<p class="a"">x</p>%s', "<p title=don't>y</p>%s", "%s<canvas>", "<svg>%s", "<canvas>%s", "<div><!-->%s", "<body class='has-comments'>%s<div id=comments><article>A reader says a lot of words here, really.</article>",
+    ],
+)
+def test_html_frames_and_broken_markup(page):
+    """What stands around an article neither hides it nor leaks into it."""
+    want = "The title of it\nOne.\nA paragraph with some words in it, enough."
+    assert html.main_text(page % ARTICLE) == want
+    assert html.main_text(page % ARTICLE.replace("<article>", '<article class="post share-enabled">')) == want
+
+
+def test_html_very_long_and_hostile_pages():
+    import time
+
+    t = time.time()
+    for page in ("<a " * 300000, "<p>" + '="' * 200000, "<canvas>" * 50000, "<i>" * 50000 + "</b>" * 50000, "<div>x" * 50000, "<b><p>" * 20000, "<a>" * 50000, "<ul>" + "<li>a b c d e f g.<li><a>x</a>" * 10000):
+        html.main_text(page)
+    assert time.time() - t < 30
+    page = "<article>" + "".join(f"<p>Paragraph {k} of very many, with words.</p><p>Of.</p>" for k in range(20000)) + "</article>"
+    assert html.main_text(page).count("\n") == 39999
+
+
+def brute_labels(page):
+    """All labellings of a page's blocks tried."""
+    found = html.blocks(page)
+    c, e = html.costs(found), html.edges(found)
+    value = lambda lab: sum(-x if k else 0 for x, k in zip(c, lab)) + sum(w for i, j, w in e if lab[i] != lab[j])
+    return value(html.minimum_cut(c, e)), min(value([b >> i & 1 for i in range(len(c))]) for b in range(1 << len(c)))
+
+
+def test_html_labelling_of_small_pages_is_the_cheapest():
+    rng = random.Random(6)
+    inner = ["<p>Of.</p>", "<p>A sentence of quite a few words, that ends.</p>", "<p><a href=x>read on</a></p>", "<div class=ad>Buy one, get one.</div>", "<li><a>x</a>", "<h2>Head</h2>", "plain text of a few words"]
+    for _ in range(60):
+        page = "".join(rng.choice(["<article>", "<div>", "<section class=comments>", "<nav>"]) + "".join(rng.choice(inner) for _ in range(rng.randrange(1, 4))) + "</div></nav></article></section>" for _ in range(3))
+        got, best = brute_labels(page)
+        assert abs(got - best) < 1e-9
+
+
+def test_html_flow_decides_blocks():
+    """Over whole `pages`: edges outweigh the own cost of over half of the blocks, and labels differ from its sign for some."""
+    import duckdb
+
+    blocks = outweighed = turned = 0
+    for (page,) in duckdb.connect().execute("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall():
+        found = html.blocks(page or "")
+        c, e = html.costs(found), html.edges(found)
+        pull = [0.0] * len(c)
+        for i, j, w in e:
+            pull[i] += w
+            pull[j] += w
+        blocks += len(c)
+        outweighed += sum(abs(x) < w for x, w in zip(c, pull))
+        turned += sum((x > 0) != k for x, k in zip(c, html.minimum_cut(c, e)))
+    assert outweighed > 0.5 * blocks and turned > 0.005 * blocks
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", "<p>A page of text with some words.", "x"), (1, "u", "<p>A page of text with some words.", "x"), (None, None, None, None)], "page_id bigint, url string, html string, text string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html.extract(df).collect())[0] == (0, "", 0)

@@ -1,59 +1,111 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is cut into blocks of text. A block's features give the cost of calling it content or boilerplate (edges to
-the two terminals); neighbours in page order and in the DOM are joined by smoothness edges. The minimum cut
-is the cheapest labelling. Blocks whose own cost outweighs all their edges are settled first, which changes no
-minimum; augmenting paths settle the rest.
+A page is cut into blocks of text. What a block looks like (length, sentence, share of links, the place it stands in)
+gives the cost of calling it content or boilerplate: edges to the two terminals. Neighbours in page order and in the
+DOM are joined by smoothness edges, whose sum outweighs most costs, so that a one-word paragraph or a line of links
+goes with what is around it. The minimum cut is the cheapest labelling.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
-from collections import deque
+from collections import Counter, deque
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+#: A comment, declaration or tag as browsers read them: quotes count after = alone, what is cut short ends with the page.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|object|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</(?![a-z])[^>]*+(?:>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<rest>(?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?+)*+)(?:>|\Z)",
     re.I | re.S,
 )
-NAMES = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+NAMES = re.compile(r"(?<![\w-])(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 BLOCKS = frozenset(
-    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements whose text isn't shown as text: read up to their end tag. Without one, the first kind takes the rest of the page, the second nothing.
+RAW = frozenset("script style title textarea iframe xmp noembed noframes".split())
+UNSEEN = frozenset("noscript template svg math select object canvas audio video button option datalist".split())
 #: Open elements that a start tag closes, up to the nearest container.
-CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"td", "th", "tr", "p"}, "option": {"option"}}
+CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"td", "th", "tr", "p"}}
 SCOPES = frozenset("article aside blockquote body details div fieldset figure footer form header html li main nav ol section table td th ul".split())
-#: Elements that hold no article text, and names that say so.
-CHROME_TAGS = frozenset("nav footer aside form menu head title button dialog header".split())
+#: Elements and names that tell the place of a block. A name is a class or id by its words; "with-sidebar" or "share-enabled" name no place.
+CHROME_TAGS = frozenset("nav footer aside menu dialog header".split())
 CHROME_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies disqus disclaimer discussion footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification outbrain overlay pager pagination popup promo promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe taboola toolbar topbar widget alert".split()
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs consent contentinfo cookie cookies disclaimer footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification outbrain overlay pager pagination popup promo promotion recommended related search share sharing sidebar signup skip social sponsor sponsored subscribe taboola toolbar topbar widget alert".split()
 )
+COMMENT_NAMES = frozenset("comment comments disqus discussion replies reply respond".split())
 BODY_TAGS, BODY_NAMES = frozenset({"article", "main"}), frozenset("article articlebody content entry main post story text".split())
-#: Smoothness: neighbours in page order, and the next block of the same parent or grandparent.
+MODIFIERS = frozenset("has with without no not is js enabled disabled active open closed".split())
+#: Costs by place: none known, article, chrome by name or by a form around it, chrome by element, readers' comments.
+NONE, BODY, NAMED, CHROME, COMMENT = range(5)
+PLACE = (0.0, 0.7, -1.6, -1.6, -2.2)
+#: Smoothness: neighbours in page order (halved for each step between their parents), next of a parent, next of a grandparent.
 NEXT, SIBLING, COUSIN = 0.6, 0.5, 0.3
+#: Steps up from a block beyond which blocks aren't near in the DOM: an edge there would weigh next to nothing.
+REACH = 8
+#: Edges between blocks of unlike places count so much less.
+ACROSS = 0.5
 
 
-def blocks(page: str) -> list[tuple[str, float, tuple[int, int], bool, bool]]:
-    """(text, share of link characters, ids of parent and grandparent, in chrome, in body) of the blocks in page order."""
-    out, stack, held, links, number = [], [], [], 0, 0  # stack: tag, id, chrome, body
-    at = 0
+class Block(NamedTuple):
+    text: str
+    links: float  # share of link characters
+    path: tuple[int, ...]  # ids of the elements around its own, innermost last, REACH at most
+    place: int
+    giver: int  # id of the element that gave the place
+    heading: bool
+
+
+def place_names(rest: str) -> set[str]:
+    """The words of the class names, ids and roles of a start tag, without those that only modify."""
+    out = set()
+    for n in NAMES.finditer(rest):
+        for token in (n[1] or n[2] or n[3] or "").split():
+            words = [w.lower() for w in WORD.findall(token)]
+            if len(words) == 1 or not MODIFIERS.intersection(words):
+                out.update(words)
+    return out
+
+
+def place_of(tag: str, names: set[str], around: int) -> int:
+    """The place that an element gives its text, from its tag, its names and the place around it."""
+    if around in (CHROME, COMMENT):  # an <article> in there is a teaser or a comment
+        return COMMENT if names & COMMENT_NAMES else around
+    if tag in CHROME_TAGS and not (tag == "header" and around == BODY):
+        return CHROME
+    if tag in ("html", "body"):
+        return around
+    if names & COMMENT_NAMES:
+        return COMMENT
+    if tag in BODY_TAGS:
+        return BODY
+    if tag == "form" or names & CHROME_NAMES:
+        return NAMED
+    return BODY if names & BODY_NAMES else around
+
+
+def blocks(page: str) -> list[Block]:
+    """The blocks of text of a page in page order."""
+    out: list[Block] = []
+    stack: list[tuple[str, int, int, int]] = [("", 0, NONE, 0)]  # tag, id, place, giver
+    scope = stack[:]  # those of the stack that are blocks
+    open_: Counter[str] = Counter()
+    held: list[str] = []
+    links, number, at = 0, 0, 0
+    unclosed: set[str] = set()
 
     def flush():
         nonlocal held, links
-        if held:
-            text = " ".join("".join(held).split())
-            if text:
-                scope = [s for s in stack if s[0] in BLOCKS]
-                own = scope[-1] if scope else ("", 0, False, False)
-                up = scope[-2][1] if len(scope) > 1 else 0
-                out.append((text, links / max(1, len(text)), (up, scope[-3][1] if len(scope) > 2 else 0), own[2], own[3]))
+        if held and (text := " ".join("".join(held).split())):
+            own = scope[-1]
+            out.append(Block(text, min(1.0, links / len(text)), tuple(s[1] for s in scope[-REACH - 1 : -1]), own[2], own[3], own[0] in ("h1", "h2", "h3")))
         held, links = [], 0
 
     def say(raw: str):
@@ -61,151 +113,165 @@ def blocks(page: str) -> list[tuple[str, float, tuple[int, int], bool, bool]]:
         if raw:
             text = html.unescape(raw) if "&" in raw else raw
             held.append(text)
-            if any(s[0] == "a" for s in stack):
-                links += len(text)
+            if open_["a"]:
+                links += len(" ".join(text.split()))
+
+    def close(k: int):
+        for s in stack[k:]:
+            open_[s[0]] -= 1
+            if s[0] in BLOCKS:
+                scope.pop()
+        del stack[k:]
 
-    for m in TOKEN.finditer(page):
+    m = TOKEN.search(page)
+    while m:
         say(page[at : m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
-        if not tag:
-            if m["raw"]:
-                held.append(" ")
-            continue
         if tag in BLOCKS:
             flush()
         elif tag == "br":
             held.append(" ")
         if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1 if open_[tag] else 0, 0, -1):
                 if stack[k][0] == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k][0] in SCOPES and tag not in SCOPES:
                     break
-            continue
-        if closed := CLOSES.get(tag):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in closed:
-                    del stack[k:]
-                    break
-                if stack[k][0] in SCOPES:
-                    break
-        elif tag in SCOPES:  # a paragraph doesn't hold blocks
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
+        elif tag in RAW or tag in UNSEEN:
+            held.append(" ")
+            if tag not in unclosed and not m["rest"].endswith("/"):
+                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I).search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in RAW:
+                    at = len(page)
+                else:
+                    unclosed.add(tag)
+        elif tag and tag not in VOID and not (m["rest"].endswith("/") and tag not in BLOCKS):
+            shut = CLOSES.get(tag) or ({"p"} if tag in BLOCKS else {"a"} if tag == "a" else ())
+            for k in range(len(stack) - 1 if any(open_[x] for x in shut) else 0, 0, -1):
+                if stack[k][0] in shut:
+                    close(k)
                     break
                 if stack[k][0] in SCOPES:
                     break
-        if tag in VOID or m["rest"].rstrip().endswith("/") and tag not in BLOCKS:
-            continue
-        number += 1
-        chrome, body = (stack[-1][2], stack[-1][3]) if stack else (False, False)
-        if tag in BLOCKS:
-            names = set()
-            for n in NAMES.finditer(m["rest"]):
-                names.update(w.lower() for w in WORD.findall(n[2] or n[3] or n[4] or ""))
-            if tag in BODY_TAGS or names & BODY_NAMES and not names & CHROME_NAMES:
-                body = True
-            if tag in CHROME_TAGS and not (tag == "header" and body) or names & CHROME_NAMES and tag not in ("html", "body"):
-                chrome = True
-        stack.append((tag, number, chrome, body))
+            number += 1
+            place, giver = stack[-1][2:]
+            if tag in BLOCKS:
+                new = place_of(tag, place_names(m["rest"]), place)
+                if new != place:
+                    place, giver = new, number
+            open_[tag] += 1
+            stack.append((tag, number, place, giver))
+            if tag in BLOCKS:
+                scope.append(stack[-1])
+        m = TOKEN.search(page, at)
     say(page[at:])
     flush()
     return out
 
 
-def cost(block: tuple[str, float, tuple[int, int], bool, bool]) -> float:
-    """How much dearer it is to call the block boilerplate than content (negative: cheaper)."""
-    text, links, _, chrome, body = block
-    words = text.count(" ") + 1
-    score = -0.6 + (0.8 if words >= 6 else 0) + (0.8 if words >= 15 else 0) + (0.4 if text[-1] in ".!?…\"'”»" else 0)
-    return score - 3.0 * links + (4.0 if body else 0) - (9.0 if chrome else 0)
+def costs(found: list[Block]) -> list[float]:
+    """How much dearer it is to call each block boilerplate than content (negative: cheaper).
+
+    A block of most of its article's text anchors it, however short. A form or a named element that holds over half
+    of the text of a page without an article is a frame around it, and gives no place.
+    """
+    held: dict[int, int] = {}
+    for b in found:
+        held[b.giver] = held.get(b.giver, 0) + len(b.text)
+    total, article = sum(held.values()), any(b.place == BODY for b in found)
+    out = []
+    for b in found:
+        words = b.text.count(" ") + 1
+        score = 1.2 * min(1.0, math.log2(words + 1) / 5) - 1.0 - 2.0 * b.links
+        if words >= 4 and b.text[-1] in ".!?…\"'”»。":
+            score += 0.3
+        if not (b.place == NAMED and not article and 2 * held[b.giver] > total):
+            score += PLACE[b.place]
+        if b.place == BODY:
+            score += 0.5 * len(b.text) / held[b.giver] + (0.4 if b.heading else 0)
+        out.append(score)
+    return out
+
+
+def edges(found: list[Block]) -> list[tuple[int, int, float]]:
+    """Smoothness edges between blocks that are near in page order or in the DOM."""
+    out, last = [], {}
+    for j, b in enumerate(found):
+        ties = []
+        if j:
+            a = found[j - 1]
+            up = {x: k for k, x in enumerate(reversed(a.path))}
+            steps = next((k + up[x] for k, x in enumerate(reversed(b.path)) if x in up), None)
+            ties.append((j - 1, NEXT * 0.5**steps if steps is not None else 0.0))
+        for level, weight in ((1, SIBLING), (2, COUSIN)):
+            if len(b.path) >= level:
+                key = (level, b.path[-level])
+                if key in last:
+                    ties.append((last[key], weight))
+                last[key] = j
+        out += [(i, j, w if found[i].place == b.place else w * ACROSS) for i, w in ties]
+    return out
 
 
 def minimum_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """The labelling (True: content) that minimises the costs of labels plus the weights of edges between unlike ones.
 
-    Of equal ones the one with the fewest blocks of content.
+    Of equal ones the one with the fewest blocks of content. Maximum flow by augmenting paths, one block of positive
+    cost after the other: a search goes to the nearest block that still takes flow, and what it finds closed stays closed, so
+    pages of very many blocks take local searches alone.
     """
-    n, costs = len(costs), list(costs)
-    near: list[dict[int, float]] = [{} for _ in range(n)]
+    near: list[dict[int, float]] = [{} for _ in costs]
     for i, j, w in edges:
         if i != j:
-            near[i][j] = near[i].get(j, 0) + w
-            near[j][i] = near[j].get(i, 0) + w
-    label: list[bool | None] = [None] * n
-    pull = [sum(x.values()) for x in near]
-    queue = deque(range(n))
-    while queue:  # settled blocks become part of their neighbours' costs
-        i = queue.popleft()
-        if label[i] is None and abs(costs[i]) >= pull[i] and costs[i]:
-            label[i] = costs[i] > 0
-            for j, w in near[i].items():
-                if label[j] is None:
-                    costs[j] += w if label[i] else -w
-                    pull[j] -= w
-                    del near[j][i]
-                    queue.append(j)
-    left = [i for i in range(n) if label[i] is None]
-    if left:
-        reach = _flow({i: costs[i] for i in left}, {i: dict(near[i]) for i in left})
-        for i in left:
-            label[i] = i in reach
-    return [bool(x) for x in label]
-
-
-def _flow(costs: dict[int, float], room: dict[int, dict[int, float]]) -> set[int]:
-    """Blocks on the source side after maximum flow: shortest augmenting paths from positive to negative costs."""
-    give = {i: c for i, c in costs.items() if c > 1e-12}
-    take = {i: -c for i, c in costs.items() if c < -1e-12}
-    while True:
-        came: dict[int, int | None] = {i: None for i, c in give.items() if c > 1e-12}
-        queue, goal = deque(came), None
-        while queue:
-            i = queue.popleft()
-            if take.get(i, 0) > 1e-12:
-                goal = i
+            near[i][j] = near[i].get(j, 0.0) + w
+            near[j][i] = near[j].get(i, 0.0) + w
+    take = [max(0.0, -c) for c in costs]
+    content = [False] * len(costs)
+    for source, c in enumerate(costs):
+        left = max(0.0, c)
+        while left > 1e-12 and not content[source]:
+            came: dict[int, int] = {source: source}
+            queue, goal = deque([source]), -1
+            while queue:
+                i = queue.popleft()
+                if take[i] > 1e-12:
+                    goal = i
+                    break
+                for j, w in near[i].items():
+                    if w > 1e-12 and j not in came and not content[j]:
+                        came[j] = i
+                        queue.append(j)
+            if goal < 0:  # nothing that is reached takes more: the source side
+                for i in came:
+                    content[i] = True
                 break
-            for j, w in room[i].items():
-                if w > 1e-12 and j not in came:
-                    came[j] = i
-                    queue.append(j)
-        if goal is None:
-            return set(came)
-        path, i = [], goal
-        while came[i] is not None:
-            path.append((came[i], i))
-            i = came[i]
-        f = min([give[i], take[goal], *(room[a][b] for a, b in path)])
-        give[i] -= f
-        take[goal] -= f
-        for a, b in path:
-            room[a][b] -= f
-            room[b][a] = room[b].get(a, 0) + f
+            path, i = [], goal
+            while came[i] != i:
+                path.append((came[i], i))
+                i = came[i]
+            f = min([left, take[goal], *(near[a][b] for a, b in path)])
+            left -= f
+            take[goal] -= f
+            for a, b in path:
+                near[a][b] -= f
+                near[b][a] += f
+    return content
 
 
 def main_text(page: str | None) -> str:
     """The content blocks of a page, one a line."""
     found = blocks(page or "")
-    edges, last = [], {}
-    for i, b in enumerate(found):
-        if i:
-            edges.append((i - 1, i, NEXT))
-        for level, weight in ((0, SIBLING), (1, COUSIN)):
-            key = (level, b[2][level])
-            if key in last:
-                edges.append((last[key], i, weight))
-            last[key] = i
-    keep = minimum_cut([cost(b) for b in found], edges)
-    return "\n".join(b[0] for b, k in zip(found, keep) if k)
+    return "\n".join(b.text for b, keep in zip(found, minimum_cut(costs(found), edges(found))) if keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row.
 
-    Null, empty and textless pages give an empty text; broken markup is read as far as tags can be told. Repeated rows
+    Null, empty and textless pages give an empty text; broken markup is read as browsers do; a tag cut short ends with the page. Repeated rows
     come out as they went in. Only page_id, url and html are read. Empty input: empty result.
     """
 
