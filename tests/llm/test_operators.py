@@ -220,6 +220,61 @@ def test_mined_rules_equal_counts(spark):
     assert got == pytest.approx(want)
 
 
+def brute_rules(rows, need, confidence):
+    """Combinations of one or two tokens with their confidence, by counting; none whose part is a rule for the same verdict."""
+    with_, without = collections.Counter(), collections.Counter()
+    for tokens, verdict in rows:
+        for c in {tuple(sorted({a, b})) for a in tokens for b in tokens}:
+            with_[c, verdict] += 1
+            without[c] += 1
+    found = {k: n / without[k[0]] for k, n in with_.items() if n >= need and n / without[k[0]] >= confidence}
+    return {k: c for k, c in found.items() if len(k[0]) == 1 or not any(((t,), k[1]) in found for t in k[0])}
+
+
+def test_rules_of_long_rows_equal_counts(spark):
+    """Rows of up to 60 tokens, most of them shared by all rows: dealt to buckets, mined and counted."""
+    rng = random.Random(14)
+    rows = [([f"t{k}" for k in range(60) if rng.random() < (0.97 if k % 3 else 0.3)] or ["x"], rng.choice(["allow", "block", "block"])) for _ in range(60)]
+    df = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    got = {(tuple(r.antecedent), r.verdict): r.confidence for r in urls.mine(df, 0.05, 0.75, 5, 2).collect()}
+    want = brute_rules(rows, 5, 0.75)
+    assert got == pytest.approx(want) and 2 in {len(a) for a, _ in want}
+    assert urls.mine(df, 0.05, 0.7, 61, 2).count() == 0
+
+
+def test_urls_of_forty_segments(spark):
+    """Verdicts equal brute force, tokens and matching included; no row is too long, and few labels give no rules."""
+    import time
+
+    rng = random.Random(15)
+    deep = "/".join(f"s{k}" for k in range(40))
+    raw = [f"http://h{k % 7}.x.com/{'en' if k % 3 else 'fr'}/{deep}/{k}" for k in range(150)] + [f"http://a.example.net/de/{k}" for k in range(60)] + [f"http://a.b.{rng.choice(['net', 'xyz'])}/{rng.choice(['de', 'en', 'S3', ''])}" for _ in range(60)] + [None, "://", "http://x/" + "y/" * 3000]
+    t = time.time()
+    got = {r.page_id: r for r in urls.filter_urls(spark.createDataFrame(list(enumerate(raw)), "page_id bigint, url string"), RULES).collect()}
+    assert time.time() - t < 60
+
+    def parts(u):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        cut = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+        host, path = rest[:cut].lower(), rest[cut:].split("?")[0].split("#")[0]
+        return host, path, {f"host:{x}" for x in host.split(".") if x} | {f"path:{x}" for x in path.lower().replace(".", "/").split("/") if x}
+
+    def fit(host, path):
+        return max([(len(h + p), v) for v, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)], default=(0, None))[1]
+
+    cut = [parts(u) for u in raw]
+    rows = [(tokens, fit(host, path)) for host, path, tokens in cut if fit(host, path) and tokens]
+    rules = brute_rules(rows, max(20, -(-len(rows) * 2 // 1000)), 0.9)
+    count = lambda a, v: sum(set(a) <= t and w == v for t, w in rows)
+    ranked = [(c, count(a, v), v, list(a)) for (a, v), c in rules.items()]
+    for k, (host, path, tokens) in enumerate(cut):
+        best = max([r for r in ranked if set(r[3]) <= tokens], default=None)
+        assert got[k].verdict == (fit(host, path) or (best[2] if best else "allow")), raw[k]
+        assert got[k].antecedent == (best[3] if best and not fit(host, path) else None)
+    few = spark.createDataFrame([(k, f"http://h.x.com/en/{k}") for k in range(19)] + [(19, "http://h.x.com/fr")], "page_id bigint, url string")
+    assert {r.page_id for r in urls.filter_urls(few, RULES).where("antecedent is not null or verdict = 'allow'").collect()} == {19}
+
+
 def test_weighted_sampling(spark):
     rng = random.Random(7)
     texts = [prose(rng, 80, 60) for _ in range(12)] + ["", None, "é!", prose(rng, 80, 60)]

@@ -30,7 +30,7 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return urls.filter_urls(table(spark, sf_dir, "pages"), URL_RULES).withColumn("antecedent", F.array_join("antecedent", " "))
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,34 @@ def op10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_html, op3_urls, op4_fingerprints, op5_token_files, op6_decontaminate, op7_language, op8_shards, op9_bpe, op10_spans)}
 
+def _rule_sql(verdict: str, host: str, path: str) -> str:
+    return f"CASE WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}') THEN {{{{'n': {len(host + path)}, 'rule': '{host + path}', 'verdict': '{verdict}'}}}} END".replace("{{", "{").replace("}}", "}")
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_urls": f"""
+WITH cut AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+judged AS (
+  SELECT *, list_reverse_sort(list_filter([{', '.join(_rule_sql(*r) for r in URL_RULES)}], lambda x: x IS NOT NULL))[1] AS fit,
+         list_distinct(list_concat([('host:' || x) FOR x IN string_split(host, '.') IF x <> ''],
+           [('path:' || x) FOR x IN string_split_regex(translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[/.]+') IF x <> ''])) AS tokens FROM cut),
+labelled AS (SELECT row_number() OVER () AS r, fit.verdict AS verdict, tokens FROM judged WHERE fit IS NOT NULL AND len(tokens) > 0),
+need AS (SELECT greatest(ceil(round(0.002 * count(*), 6)), 20) AS n FROM labelled),
+each AS (SELECT r, verdict, unnest(tokens) AS t FROM labelled),
+often AS (SELECT t FROM each GROUP BY t HAVING count(*) >= (SELECT n FROM need)),
+kept AS (SELECT * FROM each SEMI JOIN often USING (t)),
+combos AS (SELECT [t] AS antecedent, verdict FROM kept UNION ALL SELECT [a.t, b.t], a.verdict FROM kept a JOIN kept b ON a.r = b.r AND a.t < b.t),
+counted AS (SELECT antecedent, verdict, count(*) AS support, count(*) / sum(count(*)) OVER (PARTITION BY antecedent)::DOUBLE AS confidence FROM combos GROUP BY antecedent, verdict),
+rules AS (SELECT * FROM counted WHERE support >= (SELECT n FROM need) AND confidence >= 0.9),
+least AS (SELECT * FROM rules r WHERE len(antecedent) = 1 OR NOT EXISTS (SELECT 1 FROM rules s WHERE len(s.antecedent) = 1 AND s.verdict = r.verdict AND list_contains(r.antecedent, s.antecedent[1]))),
+best AS (
+  SELECT j.page_id, max({{'c': l.confidence, 's': l.support, 'v': l.verdict, 'a': l.antecedent}}) AS b
+  FROM judged j JOIN least l ON list_has_all(j.tokens, l.antecedent) WHERE j.fit IS NULL GROUP BY j.page_id)
+SELECT page_id, host, path, fit.rule AS rule, coalesce(fit.verdict, b.v, 'allow') AS verdict, array_to_string(b.a, ' ') AS antecedent, b.c AS confidence
+FROM judged LEFT JOIN best USING (page_id)
+""",
     "op6_decontaminate": r"""
 WITH cut AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
