@@ -15,23 +15,32 @@ def internal_key(bucket: Column, key: Column) -> Column:
     return F.concat(bucket, F.lit(NUL), key)
 
 
-def java_hash(text: Column) -> Column:
-    """The 31-polynomial over UTF-16 units with 32-bit wrap-around, as a signed int (kept in a long).
+def _folded(text: Column, start: Column) -> Column:
+    """`start` carried on over the UTF-16 units of text: times 31, plus the unit, in 32 bits.
 
     Code points are UTF-16 units but for supplementary ones, whose texts are read from their UTF-16 bytes.
     """
-    start, step = F.lit(0).cast("bigint"), lambda a, x: (a * 31 + x).bitwiseAND(0xFFFFFFFF)
+    step = lambda a, x: (a * 31 + x).bitwiseAND(0xFFFFFFFF)
     by_point = F.aggregate(F.split(text, ""), start, lambda a, c: step(a, F.ascii(c)))
     unit = lambda u, i: F.conv(F.hex(F.substring(u, i * 2 - 1, F.lit(2))), 16, 10).cast("bigint")
     of = lambda u: F.aggregate(F.sequence(F.lit(1), (F.octet_length(u) / 2).cast("int")), start, lambda a, i: step(a, unit(u, i)))
     units = F.encode(text, "UTF-16BE")
-    total = F.when(F.octet_length(units) == 2 * F.char_length(text), by_point).otherwise(F.transform(F.array(units), of)[0])
-    return total.bitwiseXOR(1 << 31) - (1 << 31)
+    plain = (F.octet_length(text) == F.char_length(text)) | (F.octet_length(units) == 2 * F.char_length(text))
+    return F.when(plain, by_point).otherwise(F.transform(F.array(units), of)[0])
+
+
+def java_hash(text: Column, before: Column | None = None) -> Column:
+    """The 31-polynomial over UTF-16 units with 32-bit wrap-around, as a signed int (kept in a long), of `before` and text.
+
+    `before` is folded first; as a literal, once for all rows.
+    """
+    start = F.lit(0).cast("bigint")
+    return _folded(text, _folded(before, start) if before is not None else start).bitwiseXOR(1 << 31) - (1 << 31)
 
 
 def partition_of(bucket: Column, key: Column, n: int = 16) -> Column:
     """Partition of an object. abs() is taken as a long, so the least hash is not negative."""
-    return (F.abs(java_hash(internal_key(bucket, key))) % n).cast("int")
+    return (F.abs(java_hash(key, F.concat(bucket, F.lit(NUL)))) % n).cast("int")
 
 
 def etag(value: Column) -> Column:

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.operators.log import live_index
-
 ENTRY = ("partition_id", "segment_id", "value_offset", "value_length")
 
 
 def index_of(records: DataFrame) -> DataFrame:
-    """bucket, key, partition_id, segment_id, value_offset, value_length of every live key."""
-    return live_index(records, {c: F.col(c) for c in ENTRY})
+    """bucket, key, partition_id, segment_id, value_offset, value_length of every live key.
+
+    A key's records are in one partition, where the log's order is that of record_start: numbers alone, which aggregate
+    by hash before the shuffle.
+    """
+    last = [F.max_by(c, "record_start").alias(c) for c in ENTRY]
+    return records.groupBy("bucket", "key").agg(*last, F.max_by(F.col("op") == "PUT", "record_start").alias("live")).where("live").drop("live")
 
 
 def live_bytes(records: DataFrame) -> DataFrame:
@@ -34,19 +37,57 @@ def candidates(records: DataFrame, threshold: float = 0.5, most: int = 4) -> Dat
     return some.withColumn("rank", rank).where(F.col("rank") <= most).drop("sealed")
 
 
-def rewritten(records: DataFrame, threshold: float = 0.5, most: int = 4) -> DataFrame:
-    """Records that compaction keeps of its candidates: live ones, and tombstones while an older version is left elsewhere.
+def kept(records: DataFrame, threshold: float = 0.5, most: int = 4) -> DataFrame:
+    """The records of the candidates that compaction keeps: live ones, and tombstones while an older version is left elsewhere.
 
     Keeping those tombstones is stricter than dropping all: no later rebuild can bring a deleted key back.
     """
-    chosen = candidates(records, threshold, most).select("partition_id", "segment_id")
-    mine = records.join(F.broadcast(chosen), ["partition_id", "segment_id"], "left_semi")  # `most` rows a partition
+    chosen = F.broadcast(candidates(records, threshold, most).select("partition_id", "segment_id"))  # `most` rows a partition
+    mine = records.join(chosen, ["partition_id", "segment_id"], "left_semi")
     live = index_of(records).select("partition_id", "segment_id", "value_offset")
-    kept = mine.join(live, ["partition_id", "segment_id", "value_offset"], "left_semi").select("bucket", "key", "partition_id", "segment_id", "op")
-    others = records.join(F.broadcast(chosen), ["partition_id", "segment_id"], "left_anti").where("op = 'PUT'").groupBy("bucket", "key").agg(F.min("seq").alias("oldest"))
-    dead = mine.where("op = 'DELETE'").groupBy("bucket", "key", "partition_id", "segment_id", "op").agg(F.max("seq").alias("at"))
-    tombs = dead.join(others, ["bucket", "key"]).where(F.col("oldest") < F.col("at")).select("bucket", "key", "partition_id", "segment_id", "op")
-    return kept.unionByName(tombs)
+    alive = mine.where("op = 'PUT'").join(live, ["partition_id", "segment_id", "value_offset"], "left_semi")
+    # a key is in one partition, whose order is that of record_start
+    others = records.where("op = 'PUT'").join(chosen, ["partition_id", "segment_id"], "left_anti").groupBy("bucket", "key").agg(F.min("record_start").alias("oldest"))
+    dead = mine.where("op = 'DELETE'").join(others, ["bucket", "key"]).where(F.col("oldest") < F.col("record_start")).drop("oldest")
+    return alive.select(*records.columns).unionByName(dead.select(*records.columns))
+
+
+def rewritten(records: DataFrame, threshold: float = 0.5, most: int = 4) -> DataFrame:
+    """bucket, key, partition_id, segment_id, op of what kept() keeps, one row a key, segment and kind."""
+    return kept(records, threshold, most).select("bucket", "key", "partition_id", "segment_id", "op").distinct()
+
+
+def compacted(records: DataFrame, threshold: float = 0.5, most: int = 4) -> DataFrame:
+    """The log after compaction: the records of segments that aren't candidates, and what kept() keeps of the others.
+
+    record_start still orders them; a segment's bytes close up when it is written (sources.segments).
+    """
+    chosen = F.broadcast(candidates(records, threshold, most).select("partition_id", "segment_id"))
+    return records.join(chosen, ["partition_id", "segment_id"], "left_anti").unionByName(kept(records, threshold, most))
+
+
+def stats(moved: DataFrame, *by: str) -> DataFrame:
+    """kept, skipped and live_bytes of moved entries (of freshness()), in total or for each of `by`.
+
+    live_bytes counts all that was copied, also what turned out stale at the commit.
+    """
+    return moved.groupBy(*by).agg(F.count_if("fresh").alias("kept"), F.count_if(~F.col("fresh")).alias("skipped"), F.sum("value_length").alias("live_bytes"))
+
+
+def exact_ratio(records: DataFrame) -> DataFrame:
+    """partition_id, segment_id, size, live_size, dead_ratio of every segment, headers and keys of live records counted as live."""
+    spots = index_of(records).select("partition_id", "segment_id", "value_offset")
+    alive = records.where("op = 'PUT'").join(spots, ["partition_id", "segment_id", "value_offset"], "left_semi")
+    live = alive.groupBy("partition_id", "segment_id").agg(F.sum("record_length").alias("live_size"))
+    sizes = records.groupBy("partition_id", "segment_id").agg(F.sum("record_length").alias("size"))
+    out = sizes.join(live, ["partition_id", "segment_id"], "left").select("partition_id", "segment_id", "size", F.coalesce("live_size", F.lit(0)).alias("live_size"))
+    return out.withColumn("dead_ratio", F.when(F.col("size") > 0, 1.0 - F.col("live_size") / F.col("size")).otherwise(0.0))
+
+
+def referenced(segments: DataFrame, index: DataFrame) -> DataFrame:
+    """segments (partition_id, segment_id) with referenced: whether a live entry points into it."""
+    used = index.select("partition_id", "segment_id").distinct().withColumn("referenced", F.lit(True))
+    return segments.join(used, ["partition_id", "segment_id"], "left").withColumn("referenced", F.coalesce("referenced", F.lit(False)))
 
 
 def freshness(moved: DataFrame, current: DataFrame) -> DataFrame:

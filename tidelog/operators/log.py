@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.functions import internal_key, partition_of, record_length
+from tidelog.functions import RECORD_HEADER, internal_key, partition_of, record_length
+from tidelog.work import running_total
 
 
 def live_index(log: DataFrame, payload: dict[str, Column]) -> DataFrame:
@@ -23,13 +24,13 @@ def live_index(log: DataFrame, payload: dict[str, Column]) -> DataFrame:
 def offsets(log: DataFrame, partitions: int = 16) -> DataFrame:
     """Records with partition_id, record_start, record_length and value_offset in their partition's log.
 
-    A running sum over each partition; the number of partitions is what scales it.
+    Running sums of ranges of each partition, so a partition of very many records is many tasks. Values stay behind
+    the shuffle. It is in the shared folder, so several uses read it and compute nothing again.
     """
     value = F.when(F.col("op") == "PUT", F.col("value"))
     sized = log.select("bucket", "key", "op", "seq", partition_of(F.col("bucket"), F.col("key"), partitions).alias("partition_id"), record_length(F.col("bucket"), F.col("key"), value).cast("bigint").alias("record_length"), F.octet_length(F.coalesce(value, F.lit(""))).cast("bigint").alias("value_length"))
-    order = Window.partitionBy("partition_id").orderBy("seq", "key").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("record_length").over(order), F.lit(0))
-    return sized.withColumn("record_start", start).withColumn("value_offset", F.col("record_start") + 19 + F.octet_length(internal_key(F.col("bucket"), F.col("key"))))
+    placed = running_total(sized, "partition_id", ["seq", "key"], "record_length", "record_start", "log")
+    return placed.withColumn("value_offset", F.col("record_start") + RECORD_HEADER + F.octet_length(internal_key(F.col("bucket"), F.col("key"))))
 
 
 def in_segments(records: DataFrame, cap: int) -> DataFrame:
@@ -40,24 +41,39 @@ def in_segments(records: DataFrame, cap: int) -> DataFrame:
 def rolled(records: DataFrame, cap: int) -> DataFrame:
     """partition_id, segment_id, n_records, size: a segment is closed before the first record that finds it at `cap` bytes or more.
 
-    Where a segment starts depends on all before it, so each partition is folded in order, over lengths alone.
+    Where a segment starts depends on all before it, so each partition is read in order, lengths alone, by one task that
+    keeps the open segment and nothing else.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("record_start")
-        segment, size, out = 1, 0, []
-        for n in rows["record_length"].tolist():
-            if size >= cap:
-                segment, size = segment + 1, 0
-            size += n
-            out.append(segment)
-        rows["segment_id"] = out
-        got = rows.groupby("segment_id", as_index=False).agg(n_records=("record_length", "size"), size=("record_length", "sum"))
-        got["partition_id"] = int(rows["partition_id"].iloc[0])
-        return got[["partition_id", "segment_id", "n_records", "size"]]
-
-    narrow = records.select("partition_id", "record_start", "record_length")
-    return narrow.groupBy("partition_id").applyInPandas(fold, "partition_id int, segment_id int, n_records bigint, size bigint")
+    import pyarrow as pa
+
+    def run(batches):
+        at, segment, start, n = None, 0, 0, 0  # the open segment: its partition, number, first byte, records
+        end = 0
+
+        for batch in batches:
+            part, begin, size = (batch.column(c).to_numpy() for c in ("partition_id", "record_start", "record_length"))
+            closed, i = [], 0
+            while i < len(part):
+                if part[i] != at:
+                    if n:
+                        closed.append((at, segment, n, end - start))
+                    at, segment, start, n = part[i], 1, begin[i], 0
+                elif begin[i] - start >= cap:
+                    closed.append((at, segment, n, begin[i] - start))
+                    segment, start, n = segment + 1, begin[i], 0
+                last = int(np.searchsorted(part, at, "right"))  # sorted by partition, then by start
+                j = i + max(1, int(np.searchsorted(begin[i:last], start + cap)))
+                n, end, i = n + j - i, begin[j - 1] + size[j - 1], j
+            yield out(closed)
+        yield out([(at, segment, n, end - start)] if n else [])
+
+    def out(rows):
+        cols = list(zip(*rows)) if rows else [()] * 4
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64), pa.int64()).cast(t) for c, t in zip(cols, kinds)], ["partition_id", "segment_id", "n_records", "size"])
+
+    narrow = records.select("partition_id", "record_start", "record_length").repartition("partition_id").sortWithinPartitions("partition_id", "record_start")
+    return narrow.mapInArrow(run, "partition_id int, segment_id int, n_records bigint, size bigint")
 
 
 def from_offset(records: DataFrame, segment: int, offset: int) -> DataFrame:

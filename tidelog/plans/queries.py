@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidelog import functions as fn
 from tidelog import sources as src
 from tidelog.operators import cluster, compaction, erasure, listing, log
+from tidelog.work import spread
 
 NODES = [f"n{i}" for i in range(6)]
 CAP = 16_384
@@ -133,20 +134,22 @@ def compaction_rewrite(spark, d):
     return compaction.rewritten(items(spark, d)).groupBy("partition_id", "segment_id", "op").agg(F.count("*").alias("n_kept"))
 
 
-def _newer(spark, d):
-    return items(spark, d).where(F.col("seq.l_shipdate") <= F.lit("1996-01-01").cast("timestamp_ntz"))
+def moved_since_1996(spark, d):
+    """Entries of the index as of 1996 against the one of today: those overwritten or deleted since are stale."""
+    records = items(spark, d)
+    old = records.where(F.col("seq.l_shipdate") <= F.lit("1996-01-01").cast("timestamp_ntz"))
+    return compaction.freshness(compaction.index_of(old), compaction.index_of(records))
 
 
 def compaction_freshness(spark, d):
-    """Entries of the index as of 1996 against the one of today: those overwritten or deleted since are stale."""
-    records = items(spark, d)
-    return compaction.freshness(compaction.index_of(_newer(spark, d)), compaction.index_of(records)).select("bucket", "key", "segment_id", "fresh")
+    return moved_since_1996(spark, d).select("bucket", "key", "segment_id", "fresh")
 
 
 def compaction_summary(spark, d):
     """Per partition: sealed segments, those compacted, and those left as they are."""
-    sealed = compaction.live_bytes(items(spark, d)).where("sealed").groupBy("partition_id").agg(F.count("*").alias("sealed"))
-    chosen = compaction.candidates(items(spark, d)).groupBy("partition_id").agg(F.count("*").alias("compacted"), F.sum("live").alias("live_bytes"))
+    records = items(spark, d)
+    sealed = compaction.live_bytes(records).where("sealed").groupBy("partition_id").agg(F.count("*").alias("sealed"))
+    chosen = compaction.candidates(records).groupBy("partition_id").agg(F.count("*").alias("compacted"), F.sum("live").alias("live_bytes"))
     out = sealed.join(chosen, "partition_id", "left").na.fill(0)
     return out.select("partition_id", "sealed", "compacted", "live_bytes", F.greatest(F.lit(0), F.col("sealed") - F.col("compacted")).alias("intact"))
 
@@ -167,12 +170,12 @@ def ec_parity_k2m1(spark, d):
 
 
 def _shards(spark, d):
-    return erasure.lost(erasure.shards_of(src.doc_objects(spark, d), K, M))
+    return erasure.lost(erasure.shards_of(spread(src.doc_objects(spark, d)), K, M))
 
 
 def ec_roundtrip(spark, d):
     """Objects read back without their first two shards."""
-    back = erasure.read_objects(erasure.shards_of(src.doc_objects(spark, d), K, M).where("shard_idx >= 2"), K, M)
+    back = erasure.read_objects(erasure.shards_of(spread(src.doc_objects(spark, d)), K, M).where("shard_idx >= 2"), K, M)
     return back.select("bucket", "key", "status", F.md5("value").alias("value_md5"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.work import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,6 +37,6 @@ def item_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.lpad(F.col("l_orderkey").cast("string"), 10, "0")
     value = F.concat_ws("|", *[F.col(c).cast("string") for c in ("l_linenumber", "l_partkey", "l_suppkey")], "l_returnflag", "l_linestatus")
     op = F.when(F.col("l_returnflag") == "R", "DELETE").otherwise("PUT")
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
         F.lit("items").alias("bucket"), key.alias("key"), op.alias("op"), F.when(op == "PUT", value).alias("value"), F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey").alias("seq")
     )
