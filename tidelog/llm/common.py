@@ -2,63 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A table of at most this many rows (of a few dozen bytes each) is broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 200_000
-#: Rows and bytes of texts that a Python worker gets at once while a work table is written: bounds executors' memory.
-ARROW_ROWS, ARROW_BYTES = 2_000, 4_000_000
-
-
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = "file://" + tempfile.mkdtemp(prefix="tidelog-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared
-
-
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Within it, plans that run hand Python workers at most ARROW_ROWS rows and ARROW_BYTES bytes at once."""
-    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": ARROW_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": ARROW_BYTES}
-    before = {k: spark.conf.get(k, None) for k in limits}
-    try:
-        for k, v in limits.items():
-            spark.conf.set(k, str(v))
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
+from tidelog.work import dropped, saved, small_batches, spread, work_dir
 
-def saved(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back.
-
-    This cuts the lineage in a way that survives lost executors, computes a shared input once, and gives later joins
-    exchanges of their own, so that adaptive execution can split skewed partitions.
-    """
-    path = f"{work_dir(df.sparkSession)}/tidelog-{tag}-{uuid.uuid4().hex}"
-    with small_batches(df.sparkSession):
-        df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._tidelog_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete a table made by saved() that no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._tidelog_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["BROADCAST_ROWS", "ascii_lower", "dropped", "numbered", "saved", "small", "small_batches", "spread", "work_dir"]
 
+#: A table of at most this many rows (of a few dozen bytes each) is broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 200_000
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df (saved, so that counting is cheap) with a broadcast hint if it has at most that many rows, else as it is."""
