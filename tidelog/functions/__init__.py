@@ -111,6 +111,94 @@ def encode_record(bucket: Column, key: Column, value: Column, delete: Column) ->
     name = F.encode(internal_key(bucket, key), "UTF-8")
     body = F.when(delete, F.encode(F.lit(""), "UTF-8")).otherwise(F.coalesce(value.cast("binary"), F.encode(F.lit(""), "UTF-8")))
     flag = F.unhex(F.when(delete, "01").otherwise("00"))
-    number = lambda n, digits: F.unhex(F.lpad(F.hex(n), digits, "0"))
-    crc = number(F.crc32(F.concat(flag, name, body)), 8)
-    return F.concat(number(F.lit(RECORD_MAGIC).cast("bigint"), 8), flag, number(F.octet_length(name).cast("bigint"), 4), number(F.octet_length(body).cast("bigint"), 16), crc, name, body, crc)
+    crc = _big_endian(F.crc32(F.concat(flag, name, body)), 4)
+    return F.concat(_big_endian(F.lit(RECORD_MAGIC), 4), flag, _big_endian(F.octet_length(name), 2), _big_endian(F.octet_length(body), 8), crc, name, body, crc)
+
+
+def user_key(internal: Column) -> Column:
+    """The key of an internal key: all after the first NUL."""
+    return F.substring(internal, F.locate(NUL, internal) + 1, F.length(internal))
+
+
+def object_parts(path: Column) -> Column:
+    """struct(bucket, key) of an object's path: parted at the first slash; null without one."""
+    at = F.locate("/", path)
+    return F.when(at > 0, F.struct(F.substring(path, F.lit(1), at - 1).alias("bucket"), F.substring(path, at + 1, F.length(path)).alias("key")))
+
+
+def shard_key(bucket: Column, key: Column, index: Column) -> Column:
+    return F.concat_ws("/", bucket, key, F.lpad(index.cast("string"), 2, "0"))
+
+
+def segment_name(number: Column) -> Column:
+    """File name of a segment: its number in ten digits."""
+    return F.concat(F.lit("segment-"), F.lpad(number.cast("string"), 10, "0"), F.lit(".log"))
+
+
+def segment_number(name: Column) -> Column:
+    """The number of a segment's file, being written anew (.compact) or not; null for other names."""
+    return F.regexp_extract(name, r"^segment-(\d+)\.log(?:\.compact)?$", 1).try_cast("int")
+
+
+def group_id(namespace: Column, number: Column) -> Column:
+    """UUID of a consensus group: the namespace's high half and the group's number (-1: the group of bucket commands)."""
+    low = F.lower(F.lpad(F.hex(number.cast("bigint")), 16, "0"))
+    return F.concat(F.substring(namespace, 1, 18), F.lit("-"), F.substring(low, 1, 4), F.lit("-"), F.substring(low, 5, 12))
+
+
+def _big_endian(n: Column, size: int) -> Column:
+    return F.unhex(F.lpad(F.hex(n.cast("bigint")), 2 * size, "0"))
+
+
+def _number(raw: Column, at: Column | int, size: int) -> Column:
+    """The unsigned big-endian number of `size` bytes at a place (from 1) of a binary column."""
+    return F.conv(F.hex(F.substring(raw, F.lit(at) if isinstance(at, int) else at, F.lit(size))), 16, 10).cast("bigint")
+
+
+#: Bytes before a shard's data: the size of its object.
+SHARD_HEADER = 8
+
+
+def shard_payload(size: Column, data: Column) -> Column:
+    """A shard as it is stored: the object's size, big-endian, then the shard."""
+    return F.concat(_big_endian(size, SHARD_HEADER), data)
+
+
+def payload_size(payload: Column) -> Column:
+    """The object's size from a stored shard; null if it is shorter than its header, which counts as missing."""
+    return F.when(F.octet_length(payload) >= SHARD_HEADER, _number(payload, 1, SHARD_HEADER))
+
+
+def payload_data(payload: Column) -> Column:
+    return F.when(F.octet_length(payload) >= SHARD_HEADER, F.substring(payload, F.lit(SHARD_HEADER + 1), F.octet_length(payload)))
+
+
+#: Codes of the commands of the replicated log (fixed values).
+COMMANDS = {"PUT": 1, "DELETE": 2, "CREATE_BUCKET": 3, "DELETE_BUCKET": 4}
+
+
+def encode_command(kind: Column, bucket: Column, key: Column, value: Column) -> Column:
+    """A command in binary: code, bucket and key with lengths of two bytes, for PUT the value with one of eight; null for other kinds."""
+    none = F.lit("").cast("binary")
+    text = lambda c: F.coalesce(F.encode(c, "UTF-8"), none)
+    short = lambda b: F.concat(_big_endian(F.octet_length(b), 2), b)
+    code = F.coalesce(*[F.when(kind == k, F.lit(bytes([n]))) for k, n in COMMANDS.items()])
+    body = F.coalesce(value.cast("binary"), none)
+    return F.concat(code, short(text(bucket)), short(text(key)), F.when(kind == "PUT", F.concat(_big_endian(F.octet_length(body), 8), body)).otherwise(none))
+
+
+def decode_command(raw: Column) -> Column:
+    """struct(kind, bucket, key, value) of a binary command; an empty key is null, as is the value of all but PUT."""
+    kind = F.coalesce(*[F.when(F.substring(raw, 1, 1) == F.lit(bytes([n])), F.lit(k)) for k, n in COMMANDS.items()])
+    n_bucket = _number(raw, 2, 2).cast("int")
+    n_key = _number(raw, n_bucket + 4, 2).cast("int")
+    text = lambda at, n: F.decode(F.substring(raw, at, n), "UTF-8")
+    value = F.substring(raw, n_bucket + n_key + 14, F.octet_length(raw))
+    return F.struct(
+        kind.alias("kind"), text(F.lit(4), n_bucket).alias("bucket"), F.nullif(text(n_bucket + 6, n_key), F.lit("")).alias("key"), F.when(kind == "PUT", value).alias("value")
+    )
+
+
+def command_group(kind: Column, bucket: Column, key: Column, n: int = 16) -> Column:
+    """The group that a command goes to: -1 for bucket commands, else the object's partition."""
+    return F.when(kind.isin("CREATE_BUCKET", "DELETE_BUCKET"), -1).otherwise(partition_of(bucket, key, n))

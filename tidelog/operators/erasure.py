@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.functions import internal_key, java_hash
+from tidelog.functions import internal_key, java_hash, partition_of, payload_data, payload_size, shard_key
+from tidelog.work import running_total
 
 #: Reduction polynomial of the field (fixed value).
 POLYNOMIAL = 0x11D
@@ -273,3 +274,65 @@ def repaired(present: DataFrame, expected: DataFrame, k: int, m: int) -> DataFra
     whole = read_objects(present, k, m).where("status <> 'unavailable'").select("bucket", "key", "value")
     gone = missing(expected, present)
     return shards_of(whole.join(gone.select("bucket", "key").distinct(), ["bucket", "key"], "left_semi"), k, m).join(gone, ["bucket", "key", "shard_idx"])
+
+
+def put_statuses(acks: DataFrame, width: int) -> DataFrame:
+    """bucket, key, n_acked, status of writes by the shards that nodes have acknowledged: 200 for all `width`, else 500."""
+    n = acks.select("bucket", "key", "shard_idx").distinct().groupBy("bucket", "key").agg(F.count("*").alias("n_acked"))
+    return n.withColumn("status", F.when(F.col("n_acked") == width, 200).otherwise(500))
+
+
+def get(asked: DataFrame, payloads: DataFrame, plain: DataFrame, k: int, m: int) -> DataFrame:
+    """bucket, key, status, source (shards, plain or null), n_present, value of every key asked for.
+
+    payloads: bucket, key, shard_idx, payload; one shorter than its header counts as missing. Shards come first, decoded where
+    any k are there, 503 where fewer; the plain object (bucket, key, value) only stands in where there is no shard at all.
+    """
+    data, size = payload_data(F.col("payload")), payload_size(F.col("payload"))
+    shards = payloads.select("bucket", "key", "shard_idx", size.alias("original_size"), data.alias("data")).where("original_size is not null")
+    shards = shards.join(asked.select("bucket", "key"), ["bucket", "key"], "left_semi")
+    read = read_objects(shards, k, m).withColumnRenamed("value", "decoded")
+    out = asked.select("bucket", "key").join(read, ["bucket", "key"], "left").join(plain.select("bucket", "key", F.col("value").cast("binary").alias("plain"), F.lit(True).alias("there")), ["bucket", "key"], "left")
+    none = F.col("n_present").isNull()
+    source = F.when(~none, "shards").when(F.col("there"), "plain")
+    status = F.when(F.col("status") == "unavailable", 503).when(source.isNotNull(), 200).otherwise(404)
+    return out.select("bucket", "key", status.alias("status"), source.alias("source"), F.coalesce("n_present", F.lit(0)).alias("n_present"), F.when(none, F.col("plain")).otherwise(F.col("decoded")).alias("value"))
+
+
+def head(asked: DataFrame, payloads: DataFrame, plain: DataFrame) -> DataFrame:
+    """bucket, key, status, size of every key asked for: 200 if any shard is there, without decoding; else as the plain object."""
+    shards = payloads.withColumn("original_size", payload_size(F.col("payload"))).where("original_size is not null")
+    first = shards.groupBy("bucket", "key").agg(F.min_by("original_size", "shard_idx").alias("original_size"))
+    sizes = plain.select("bucket", "key", F.octet_length("value").cast("bigint").alias("plain_size"))
+    out = asked.select("bucket", "key").join(first, ["bucket", "key"], "left").join(sizes, ["bucket", "key"], "left")
+    size = F.coalesce("original_size", "plain_size")
+    return out.select("bucket", "key", F.when(size.isNull(), 404).otherwise(200).alias("status"), size.alias("size"))
+
+
+def without(objects: DataFrame, deleted: DataFrame) -> DataFrame:
+    """Rows (plain objects or shards) of all but the deleted keys: a DELETE takes an object's shards and its plain copy."""
+    return objects.join(deleted.select("bucket", "key").distinct(), ["bucket", "key"], "left_anti")
+
+
+def shard_requests(asked: DataFrame, stored: DataFrame) -> DataFrame:
+    """asked (node_id, bucket, key, shard_idx) with status and n_bytes: a node answers for the shards that it stores, else 404."""
+    on = ["node_id", "bucket", "key", "shard_idx"]
+    out = asked.join(stored.select(*on, F.octet_length("payload").cast("bigint").alias("n_bytes")), on, "left")
+    return out.select(*on, F.when(F.col("n_bytes").isNull(), 404).otherwise(200).alias("status"), "n_bytes")
+
+
+def repair_batches(expected: DataFrame, present: DataFrame, k: int, bucket: str, size: int = 200, partitions: int = 16) -> DataFrame:
+    """partition_id, batch, n_checked, n_intact, n_healed, n_unrepairable, checkpoint of a repair pass over all shard keys.
+
+    Each partition's shard keys, in order, are taken in batches of `size`; a batch checks its distinct objects against the
+    state at the start of the pass. checkpoint is where the next batch starts: the batch's last key and a NUL.
+    """
+    name = shard_key(F.col("bucket"), F.col("key"), F.col("shard_idx"))
+    keys = present.select("bucket", "key", name.alias("shard_key"), F.lit(1).cast("bigint").alias("one"))
+    keys = keys.withColumn("partition_id", partition_of(F.lit(bucket), F.col("shard_key"), partitions))
+    keys = running_total(keys, "partition_id", ["shard_key"], "one", "at", "repair").withColumn("batch", F.floor(F.col("at") / size))
+    last = keys.groupBy("partition_id", "batch").agg(F.concat(F.max("shard_key"), F.lit("\0")).alias("checkpoint"))
+    objects = keys.select("partition_id", "batch", "bucket", "key").distinct().join(repair_plan(expected, present, k), ["bucket", "key"])
+    count = lambda a: F.count_if(F.col("action") == a)
+    counts = objects.groupBy("partition_id", "batch").agg(F.count("*").alias("n_checked"), count("none").alias("n_intact"), count("repair").alias("n_healed"), count("unrepairable").alias("n_unrepairable"))
+    return counts.join(last, ["partition_id", "batch"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.functions import encode_token
+from tidelog.functions import NUL, encode_token, iso_millis, xml_escape
 
 
 def entries(keys: DataFrame, bucket: str, prefix: str = "", delimiter: str = "", after: str = "") -> DataFrame:
@@ -53,6 +53,44 @@ def union_listing(direct: DataFrame, shards: DataFrame) -> DataFrame:
 
 
 def keys_from(keys: DataFrame, start: str, prefix: str, limit: int) -> DataFrame:
-    """The next batch of keys from a checkpoint on, with the checkpoint after it (last key and NUL)."""
+    """The next batch of keys from a checkpoint on, with checkpoint, where the batch after it starts: the last key and a NUL."""
     batch = keys.where(F.col("key").startswith(prefix) & (F.col("key") >= max(start, prefix))).orderBy("key").limit(limit)
-    return batch.withColumn("last", F.max("key").over(Window.partitionBy()))  # the batch is `limit` rows
+    return batch.withColumn("checkpoint", F.concat(F.max("key").over(Window.partitionBy()), F.lit(NUL)))  # the batch is `limit` rows
+
+
+def as_xml(page: DataFrame, bucket: str, prefix: str = "", delimiter: str | None = None, max_keys: int = 1000, modified: str = "", version: int = 2) -> DataFrame:
+    """One row, xml: a page (of page(), max_keys rows at most) in the markup of the object interface.
+
+    Version 2 counts keys and carries tokens, version 1 a plain marker. Keys come first, then common prefixes, each in order.
+    """
+    text = lambda c: xml_escape(c)
+    tag = lambda n, c: F.concat(F.lit(f"<{n}>"), c, F.lit(f"</{n}>"))
+    contents = F.concat(
+        F.lit("  <Contents>\n    "), tag("Key", text(F.col("name"))), F.lit(f"\n    <LastModified>{modified}</LastModified>\n    <ETag>\"\"</ETag>\n    "),
+        tag("Size", F.col("size").cast("string")), F.lit("\n    <StorageClass>STANDARD</StorageClass>\n  </Contents>\n"),
+    )
+    common = F.concat(F.lit("  <CommonPrefixes>"), tag("Prefix", text(F.col("name"))), F.lit("</CommonPrefixes>\n"))
+    lines = lambda kind, c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("name", c.alias("line"))))), lambda x: x["line"]), "")
+    rows = page.agg(
+        F.count_if(F.col("kind") != "N").alias("n"), F.coalesce(F.bool_or("truncated"), F.lit(False)).alias("truncated"), F.max("next_key").alias("next_key"), F.max("token").alias("token"),
+        lines("K", contents).alias("contents"), lines("P", common).alias("prefixes"),
+    )
+    fixed = lambda s: xml_escape(F.lit(s))
+    head = [
+        F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<ListBucketResult xmlns="http://s3.amazonaws.com/doc/2006-03-01/">\n  '), tag("Name", fixed(bucket)), F.lit("\n  "), tag("Prefix", fixed(prefix)), F.lit("\n"),
+        *([F.lit("  "), tag("Delimiter", fixed(delimiter)), F.lit("\n")] if delimiter is not None else []),
+        F.lit(f"  <MaxKeys>{max_keys}</MaxKeys>\n  "), tag("IsTruncated", F.col("truncated").cast("string")), F.lit("\n"),
+    ]
+    if version == 2:
+        head += [F.lit("  "), tag("KeyCount", F.col("n").cast("string")), F.lit("\n")]
+    name, value = ("NextContinuationToken", F.col("token")) if version == 2 else ("NextMarker", text(F.col("next_key")))
+    head.append(F.when(F.col("truncated"), F.concat(F.lit("  "), tag(name, value), F.lit("\n"))).otherwise(""))
+    return rows.select(F.concat(*head, "contents", "prefixes", F.lit("</ListBucketResult>")).alias("xml"))
+
+
+def buckets_as_xml(buckets: DataFrame, owner: str) -> DataFrame:
+    """One row, xml: the buckets (bucket, created as a timestamp) in order of name. The registry of buckets is small."""
+    one = F.concat(F.lit("    <Bucket>\n      <Name>"), xml_escape(F.col("bucket")), F.lit("</Name>\n      <CreationDate>"), iso_millis(F.col("created")), F.lit("</CreationDate>\n    </Bucket>\n"))
+    rows = buckets.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", one.alias("line")))), lambda x: x["line"]), "").alias("lines"))
+    head = f'<?xml version="1.0" encoding="UTF-8"?>\n<ListAllMyBucketsResult xmlns="http://s3.amazonaws.com/doc/2006-03-01/">\n  <Owner><ID>{owner}</ID><DisplayName>{owner}</DisplayName></Owner>\n  <Buckets>\n'
+    return rows.select(F.concat(F.lit(head), "lines", F.lit("  </Buckets>\n</ListAllMyBucketsResult>")).alias("xml"))

@@ -83,6 +83,12 @@ def from_offset(records: DataFrame, segment: int, offset: int) -> DataFrame:
     return records.join(F.broadcast(known)).where(later | ~F.col("known")).drop("known")
 
 
+def imported(mine: DataFrame, later: DataFrame) -> DataFrame:
+    """A follower's log after it imports exported records: those it has already (by their place) are taken once."""
+    new = later.join(mine.select("partition_id", "record_start"), ["partition_id", "record_start"], "left_anti")
+    return mine.unionByName(new.select(*mine.columns))
+
+
 def applied(commands: DataFrame) -> DataFrame:
     """State after an ordered command stream (bucket, key, type, value_md5, term, idx): last command of each key."""
     return live_index(commands.withColumn("seq", F.struct("term", "idx")).withColumnRenamed("type", "op"), {"value_md5": F.col("value_md5")})

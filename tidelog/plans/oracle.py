@@ -146,7 +146,7 @@ CASE WHEN count(*) FILTER (NOT is_lost) = count(*) THEN 'none' WHEN count(*) FIL
     "ec_repaired": f"""
 WITH {SHARDS}, ok AS (SELECT bucket, key FROM sh GROUP BY bucket, key HAVING count(*) FILTER (NOT is_lost) >= 4)
 SELECT bucket, key, shard_idx, node_id, true AS equal FROM sh SEMI JOIN ok USING (bucket, key) WHERE is_lost""",
-    "repair_batch_checkpoint": f"WITH b AS (SELECT DISTINCT key FROM ({PAGE}) WHERE key >= 'm.' ORDER BY key LIMIT 200) SELECT key, max(key) OVER () || '\\0' AS next_checkpoint FROM b",
+    "repair_batch_checkpoint": f"WITH b AS (SELECT DISTINCT key FROM ({PAGE}) WHERE key >= 'm.' ORDER BY key LIMIT 200) SELECT key, hex(encode(max(key) OVER ())) || '00' AS next_checkpoint FROM b",
     "ec_listing_union": f"""
 SELECT coalesce(a.bucket, b.bucket) AS bucket, coalesce(a.key, b.key) AS key, coalesce(a.size, 0)::BIGINT AS size
 FROM (SELECT bucket, key, size FROM ({DOC}) WHERE size % 3 <> 0) a FULL JOIN (SELECT DISTINCT bucket, key FROM ({DOC}) WHERE size % 2 = 0) b ON a.bucket = b.bucket AND a.key = b.key""",

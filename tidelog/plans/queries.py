@@ -209,7 +209,7 @@ def ec_repaired(spark, d):
 
 def repair_batch_checkpoint(spark, d):
     keys = src.page_objects(spark, d).select("key").distinct()
-    return listing.keys_from(keys, "m.", "", 200).select("key", F.concat("last", F.lit("\\0")).alias("next_checkpoint"))
+    return listing.keys_from(keys, "m.", "", 200).select("key", F.hex(F.encode("checkpoint", "UTF-8")).alias("next_checkpoint"))
 
 
 def ec_listing_union(spark, d):
@@ -245,21 +245,21 @@ def sync_from_offset(spark, d):
     return out.select("key", "partition_id", "segment_id", "record_start", "op")
 
 
+def commands(spark, d):
+    """The events as commands of a replicated log: a new term every 1,000 of them."""
+    return src.event_log(spark, d).select("bucket", "key", "op", "value", (F.col("seq.event_id") / 1000).cast("bigint").alias("term"), F.col("seq.event_id").alias("idx"))
+
+
 def command_apply(spark, d):
-    cmd = src.event_log(spark, d).select("bucket", "key", F.col("op").alias("type"), F.md5("value").alias("value_md5"), F.lit(1).cast("bigint").alias("term"), F.col("seq.ts").alias("at"), F.col("seq.event_id").alias("idx"))
-    return log.applied(cmd.drop("at"))
+    return log.applied(commands(spark, d).select("bucket", "key", F.col("op").alias("type"), F.md5("value").alias("value_md5"), "term", "idx"))
 
 
 def rebuild_equals_index(spark, d):
-    """Live keys of the whole log, and of each key's last two versions alone: equal in every partition."""
-    from pyspark.sql import Window
-
-    records = src.item_log(spark, d).select("bucket", "key", "op", "value", "seq")
-    tail = records.withColumn("r", F.row_number().over(Window.partitionBy("bucket", "key").orderBy(F.desc("seq")))).where("r <= 2").drop("r")
-    part = lambda x: x.select(fn.partition_of(F.col("bucket"), F.col("key")).alias("partition_id"), F.crc32(F.encode(F.concat("key", "value_md5"), "UTF-8")).alias("h"))
-    a = part(_live(records)).groupBy("partition_id").agg(F.count("*").alias("n_live"), F.bit_xor("h").alias("x"))
-    b = part(_live(tail)).groupBy("partition_id").agg(F.count("*").alias("n_again"), F.bit_xor("h").alias("y"))
-    return a.join(b, "partition_id").select("partition_id", "n_live", "n_again", (F.col("x") == F.col("y")).alias("equal"))
+    """Live keys of the whole log, and of the log that compaction leaves: equal in every partition."""
+    records = items(spark, d)
+    part = lambda x: compaction.index_of(x).groupBy("partition_id").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("bucket", "key", "segment_id", "value_offset", "value_length")).alias("x"))
+    a, b = part(records), part(compaction.compacted(records)).withColumnsRenamed({"n": "n_again", "x": "y"})
+    return a.join(b, "partition_id").select("partition_id", F.col("n").alias("n_live"), "n_again", (F.col("x") == F.col("y")).alias("equal"))
 
 
 def latency_percentiles(spark, d):

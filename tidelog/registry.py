@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tidelog.plans.oracle import ORACLE_SQL
-from tidelog.plans.queries import QUERIES
+from tidelog.plans import oracle, queries, requests
+
+QUERIES = queries.QUERIES | requests.QUERIES
+ORACLE_SQL = oracle.ORACLE_SQL | requests.ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import RECORD_FOOTER, RECORD_HEADER, RECORD_MAGIC
 
-SCHEMA = "path string, record_start bigint, flags int, bucket string, key string, value binary, crc bigint"
-
-
 def scan(data: bytes, drop_tail: bool = False):
     """(start, flags, internal key, value, crc) of the records of a segment."""
     at = 0
@@ -41,21 +38,81 @@ def scan(data: bytes, drop_tail: bool = False):
         at = end
 
 
+#: Records, and bytes of values, that a scan hands on at once.
+ROWS, BYTES = 10_000, 1 << 22
+
+
+def _scanned(files: DataFrame, names: list[str], kinds: str, drop_tail: bool) -> DataFrame:
+    """The records of the segments in column content, after the named columns of their rows."""
+    import pyarrow as pa
+
+    types = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.binary(), pa.int64()]
+    fields = ["record_start", "flags", "bucket", "key", "value", "crc"]
+
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                one, rows, held = batch.slice(at, 1), [], 0
+
+                def out():
+                    of = pa.array([0] * len(rows), pa.int64())
+                    cols = list(zip(*rows)) if rows else [()] * 6
+                    return pa.RecordBatch.from_arrays([*(one.column(n).take(of) for n in names), *(pa.array(c, t) for c, t in zip(cols, types))], [*names, *fields])
+
+                for start, flags, key, value, crc in scan(one.column("content")[0].as_py(), drop_tail):
+                    rows.append((start, flags, *key.split("\0", 1), value, crc))
+                    held += len(value)
+                    if len(rows) >= ROWS or held >= BYTES:
+                        yield out()
+                        rows, held = [], 0
+                yield out()
+
+    return files.select(*names, "content").mapInArrow(run, f"{kinds}, record_start bigint, flags int, bucket string, key string, value binary, crc bigint")
+
+
 def read_segments(spark: SparkSession, path: str, drop_tail: bool = False) -> DataFrame:
     """The records of segment files, whatever store they are in: a file is a row of Spark's binary reader."""
+    return _scanned(spark.read.format("binaryFile").load(path), ["path"], "path string", drop_tail)
+
+
+def images(records: DataFrame) -> DataFrame:
+    """partition_id, segment_id, name, n_records, content (the bytes of its file) of each segment, without gaps.
+
+    records: bucket, key, op, value, partition_id, segment_id, record_start. A task holds one segment, whose size the cap bounds. The
+    images are rows, so any store that Spark writes to holds them; read_images() scans them.
+    """
     import pyarrow as pa
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    from tidelog.functions import encode_record, segment_name
+
+    record = encode_record(F.col("bucket"), F.col("key"), F.col("value"), F.col("op") == "DELETE")
+    rows = records.select("partition_id", "segment_id", "record_start", record.alias("record"))
+    rows = rows.repartition("partition_id", "segment_id").sortWithinPartitions("partition_id", "segment_id", "record_start")
 
     def run(batches):
+        at, parts = None, []
+
+        def out():
+            whole = [(*at, len(parts), b"".join(parts))] if parts else []
+            cols = list(zip(*whole)) if whole else [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.int32(), pa.int64(), pa.binary()])], ["partition_id", "segment_id", "n_records", "content"])
+
         for batch in batches:
-            for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                rows = [(path, at, flags, *key.split("\0", 1), value, crc) for at, flags, key, value, crc in scan(data, drop_tail)]
-                cols = list(zip(*rows)) if rows else [()] * 7
-                types = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.binary(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["path", "record_start", "flags", "bucket", "key", "value", "crc"])
+            for p, s, r in zip(*(batch.column(c).to_pylist() for c in ("partition_id", "segment_id", "record"))):
+                if (p, s) != at:
+                    if parts:
+                        yield out()
+                    at, parts = (p, s), []
+                parts.append(r)
+        yield out()
+
+    made = rows.select("partition_id", "segment_id", "record").mapInArrow(run, "partition_id int, segment_id int, n_records bigint, content binary")
+    return made.select("partition_id", "segment_id", segment_name(F.col("segment_id")).alias("name"), "n_records", "content")
+
 
-    return files.mapInArrow(run, SCHEMA)
+def read_images(files: DataFrame, drop_tail: bool = False) -> DataFrame:
+    """The records of segment images: partition_id, segment_id, record_start (in the file), flags, bucket, key, value, crc."""
+    return _scanned(files, ["partition_id", "segment_id"], "partition_id int, segment_id int", drop_tail)
 
 
 def intact(record: Column, flags: Column, name: Column, crc: Column) -> Column:
