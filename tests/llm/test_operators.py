@@ -532,6 +532,30 @@ def test_near_copies(spark, odd):
     assert neardup.one_of_each(odd.limit(0)).count() == 0 and 0 < neardup.one_of_each(odd).count() < odd.count()
 
 
+@pytest.mark.parametrize("segments", [2, 3, 4])
+def test_planted_edits_are_found(spark, segments):
+    """Recall over planted edits at every key length: all pairs of 0.85 or more, nearly all of 0.8 or more; none below alone."""
+    rng = random.Random(53)
+    texts, pairs = [], []
+    for k in range(40):
+        base = prose(rng, 160, 90000).split()
+        copy = list(base)
+        for at in rng.sample(range(160), 1 + k % 6):
+            copy[at] = "edited"
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(base), " ".join(copy)]
+    at = {r.doc_id: r.component_id for r in neardup.duplicates(docs_of(spark, texts), segments=segments).collect()}
+    near = {p: jaccard(texts[p[0]], texts[p[1]]) for p in pairs}
+    assert all(at[a] == at[b] for (a, b), j in near.items() if j >= 0.85)
+    over = [at[a] == at[b] for (a, b), j in near.items() if j >= 0.8]
+    assert len(over) > 15 and np.mean(over) >= 0.9
+    assert all(at[a] != at[b] for (a, b), j in near.items() if j < 0.8 - 1e-9)
+
+
+def test_keys_grow_with_the_documents():
+    assert [neardup.segments_of_a_key(n) for n in (0, 10**6, 33 * 10**6, 34 * 10**6, 8 * 10**9, 9 * 10**9, 10**13)] == [2, 2, 2, 3, 3, 4, 4]
+
+
 def test_equal_fingerprints_alone_join_nothing(spark):
     rng = random.Random(41)
     texts = [prose(rng, 120, 90000) for _ in range(3)]
