@@ -10,12 +10,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.llm.common import saved
+
 #: Training documents of a language at most: those of the least hash. The only sample; texts are taken whole.
 TRAIN_DOCS = 300
 #: Dimensions of the hashed vectors, byte lengths of the n-grams, centroids of a language.
 DIMS, SIZES, CENTROIDS = 1 << 13, (2, 3, 4), 4
-#: Rejected: a best cosine under this part of the least that is usual (a 200th) for the language's own training documents.
-REJECT = 0.25
+#: Rejected: a best cosine under this part of the least that is usual (a 200th) for excerpts of the training documents of about the text's size.
+REJECT, USUAL = 0.9, 0.005
+#: Lengths of those excerpts, and how many a size needs (a size with fewer takes the limit of the one before).
+EXCERPTS, ENOUGH = (8, 16, 32, 64, 128, 256, 512, 1024, 4096, 16384), 50
 #: Bytes of a text hashed at once.
 BLOCK = 1 << 20
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
@@ -42,13 +46,15 @@ def counts(text: str) -> np.ndarray:
     return out
 
 
-def vectors(texts: list[str], idf: np.ndarray | None = None) -> np.ndarray:
-    """Rows of sublinear term frequencies, weighted by idf and normalised where that is given."""
-    x = np.log1p(np.stack([counts(t) for t in texts]).astype(np.float32)) if texts else np.zeros((0, DIMS), np.float32)
-    if idf is not None:
-        x *= idf
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    return x
+def sizes(x: np.ndarray) -> np.ndarray:
+    """The power of two of the size of texts, in bytes of letters and blanks, from their counts."""
+    return np.log2(np.maximum(1, x.sum(axis=1) // len(SIZES))).astype(int)
+
+
+def weighted(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Counts as sublinear term frequencies, weighted and normalised."""
+    x = np.log1p(x.astype(np.float32)) * idf
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
 def clustered(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
@@ -68,29 +74,36 @@ def clustered(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
 
 
 class Model:
-    """Centroids (rows), their languages, the idf weights and each language's rejection limit."""
-
-    def __init__(self, rows: list[tuple[str, str]]):
-        self.langs = sorted({lang for lang, _ in rows})
-        raw = vectors([t for _, t in rows])
-        self.idf = (np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))) + 0.1).astype(np.float32)
-        x = raw * self.idf
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-        of = np.array([self.langs.index(lang) for lang, _ in rows])
+    """Centroids (rows), their languages, the idf weights and rejection limits by size of text."""
+
+    def __init__(self, langs: list[str], x: np.ndarray):
+        self.langs = sorted(set(langs))
+        self.idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 0.1).astype(np.float32)
+        x, of = weighted(x, self.idf), np.array([self.langs.index(lang) for lang in langs])
         groups = [clustered(x[of == i], CENTROIDS) for i in range(len(self.langs))]
         self.centroids = np.concatenate(groups).astype(np.float32) if groups else np.zeros((0, DIMS), np.float32)
         self.owner = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
-        self.limit = np.array([REJECT * np.quantile(np.max(x[of == i] @ g.T, axis=1), 0.005) for i, g in enumerate(groups)])
+        self.limit = np.zeros(64)
+
+    def calibrate(self, size: np.ndarray, cosine: np.ndarray) -> None:
+        """Set the limits from the sizes (powers of two) and best cosines of excerpts; sizes under the least excerpt have none."""
+        for k in range(int(np.log2(EXCERPTS[0])), len(self.limit)):
+            mine = cosine[size == k]
+            self.limit[k] = REJECT * np.quantile(mine, USUAL) if len(mine) >= ENOUGH else self.limit[k - 1]
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The language (by number) of the nearest centroid to each row of counts, and the cosine (0 to 1)."""
+        near = weighted(x, self.idf) @ self.centroids.T
+        best = np.argmax(near, axis=1)
+        return self.owner[best], np.clip(near[np.arange(len(x)), best].astype(np.float64), 0, 1)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Languages, cosines (0 to 1) to the nearest centroids, and whether they are too far away."""
+        """Languages, cosines to the nearest centroids, and whether they are too far away for a text of that size."""
         if not len(self.centroids):
             return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        near = vectors(texts, self.idf) @ self.centroids.T
-        best = np.argmax(near, axis=1)
-        score = np.clip(near[np.arange(len(texts)), best].astype(np.float64), 0, 1)
-        lang = self.owner[best]
-        return [self.langs[i] for i in lang], score, score < self.limit[lang]
+        x = np.stack([counts(t) for t in texts])
+        lang, score = self.nearest(x)
+        return [self.langs[i] for i in lang], score, score < self.limit[sizes(x)]
 
 
 def held_out(docs: DataFrame) -> DataFrame:
@@ -99,13 +112,51 @@ def held_out(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, per_lang: int = TRAIN_DOCS) -> Model:
-    """A model of the labelled rows that aren't held out: per_lang of each language at most, picked by a hash of doc_id."""
-    pool = held_out(docs.select("doc_id", "text", "lang")).where("not held_out and lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = pool.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_lang)
-    picked = pool.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")  # at most per_lang rows a language
-    rows = picked.select("lang", "text", "doc_id").collect()
-    return Model([(r.lang, r.text) for r in sorted(rows, key=lambda r: (r.doc_id, r.lang, r.text)) if any(c.isalpha() for c in r.text)])
+    """A model of the labelled rows that aren't held out: per_lang of each language at most, picked by a hash of doc_id.
+
+    Rows equal in doc_id, text and language count once. Texts are counted where they are: the driver gets at most DIMS
+    counts of each picked row, and of its excerpts a size and a cosine each.
+    """
+    pool = held_out(docs.select("doc_id", "text", "lang")).where("not held_out and lang is not null").where(F.col("text").rlike(r"\pL"))
+    pool = pool.select("doc_id", "text", "lang", F.xxhash64("text").alias("hash"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "hash")
+    # rows equal in all of these have one rank, so none is picked twice over
+    ids = pool.select("lang", "doc_id", "hash").withColumn("nth", F.dense_rank().over(order)).where(F.col("nth") <= per_lang)
+    ids = ids.groupBy("lang", "doc_id", "hash").agg(F.first("nth").alias("nth"))
+    ids = ids.select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"))
+    same = (F.col("lang") == F.col("_lang")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
+    picked = pool.join(F.broadcast(ids), same, "left_semi")  # at most per_lang rows a language
+    picked = saved(picked.dropDuplicates(["lang", "doc_id", "hash"]).select("lang", "hash", "text"), "training")
+
+    def count(batches):
+        for batch in batches:
+            found = [counts(t.as_py()) for t in batch.column("text")]
+            at = [np.flatnonzero(x) for x in found]
+            kinds = [pa.list_(pa.int32()), pa.list_(pa.int64())]
+            cols = [[k.tolist() for k in at], [x[k].tolist() for x, k in zip(found, at)]]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("hash"), *(pa.array(c, t) for c, t in zip(cols, kinds))], ["lang", "hash", "at", "n"])
+
+    rows = sorted(picked.mapInArrow(count, "lang string, hash bigint, at array<int>, n array<bigint>").collect(), key=lambda r: (r.lang, r.hash))
+    x = np.zeros((len(rows), DIMS), np.int64)
+    for k, r in enumerate(rows):
+        x[k, r.at] = r.n
+    model = Model([r.lang for r in rows], x)
+    if not rows:
+        return model
+
+    def measure(batches):
+        for batch in batches:
+            size, cosine = [], []
+            for t in batch.column("text"):
+                t = t.as_py()
+                x = np.stack([counts(t[:n]) for n in EXCERPTS if n <= len(t)] + [counts(t)])
+                size += sizes(x).tolist()
+                cosine += model.nearest(x)[1].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(size, pa.int32()), pa.array(cosine, pa.float64())], ["size", "cosine"])
+
+    found = picked.mapInArrow(measure, "size int, cosine double").collect()
+    model.calibrate(np.array([r["size"] for r in found]), np.array([r.cosine for r in found]))
+    return model
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
