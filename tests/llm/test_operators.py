@@ -298,6 +298,26 @@ def test_weighted_sampling(spark):
     assert cws.edited_likeness(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8, 0.95])
+def test_collision_rate_is_the_generalised_jaccard_similarity(spark, share):
+    """Per row within the error of 32 draws, and on average over 150 rows within that of 4,800."""
+    rng = random.Random(int(100 * share))
+    pairs = []
+    for _ in range(150):
+        common = [f"w{rng.randrange(500)}" for _ in range(int(60 * share))] * 2
+        pairs.append([" ".join(common + [f"{side}{rng.randrange(500)}" for _ in range(60 - len(common) // 2)]) for side in "xy"])
+    df = spark.createDataFrame([(2 * k + side, t) for k, p in enumerate(pairs) for side, t in enumerate(p)], "doc_id bigint, text string")
+    prints = {r.doc_id: r.fingerprint for r in cws.fingerprints(df, ["doc_id"]).collect()}
+    errors, scaled = [], []
+    for k, (x, y) in enumerate(pairs):
+        a, b = collections.Counter(x.split()), collections.Counter(y.split())
+        want = sum((a & b).values()) / sum((a | b).values())
+        got = np.mean([prints[2 * k][i : i + 4] == prints[2 * k + 1][i : i + 4] for i in range(0, 128, 4)])
+        errors.append(got - want)
+        scaled.append((got - want) / max(0.02, (want * (1 - want) / 32) ** 0.5))
+    assert abs(np.mean(errors)) < 0.025 and np.mean(np.abs(scaled) < 2) > 0.9 and 0.7 < np.std(scaled) < 1.3
+
+
 def test_token_files(spark, odd, tmp_path):
     from tokenizers import Tokenizer
 
@@ -402,6 +422,29 @@ def test_language(spark, odd):
     assert langid.predict(odd, model).count() == odd.count() and langid.predict(df, langid.train(df.limit(0))).where("rejected").count() == 120
 
 
+def test_language_of_held_out_documents(spark):
+    """Whole sf0.1: over 0.99 of held-out rows are right, few are rejected, and languages or letters not learnt mostly are."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = langid.train(docs)
+    got = langid.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null and lang_pred <> 'und'")
+    right, lost, n = got.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.avg(F.col("rejected").cast("int")), F.count("*")).first()
+    assert n > 2000 and right > 0.99 and lost < 0.01
+    rng = random.Random(3)
+    other = ["Все люди рождаются свободными и равными в своем достоинстве и правах. " * 9, "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。" * 9]
+    other += [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randrange(2, 9))) for _ in range(60)) for _ in range(5)]
+    other += ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa."]
+    assert np.mean(model.predict(other)[2]) > 0.7
+
+
+def test_language_ties_and_repeated_rows(spark):
+    """Two languages of equal texts: the first by name. Rows repeated under one doc_id count once in training."""
+    df = docs_of(spark, ["abc def ghi"] * 40, ["bb", "aa"] * 20)
+    assert {r.lang_pred for r in langid.predict(df, langid.train(df)).collect()} == {"aa"}
+    many = docs_of(spark, ["abc def ghi", "mno pqr"] * 500, ["aa", "bb"] * 500, ids=[1, None] * 500)
+    model = langid.train(many)
+    assert len(model.centroids) == 2 and set(model.predict(["abc def", "mno pqr"])[0]) == {"aa", "bb"}
+
+
 def brute_jump(key, n):
     b, j = -1, 0
     while j < n:

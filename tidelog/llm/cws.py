@@ -21,11 +21,11 @@ BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 def _sample(term: Column, log_w: Column, k: int) -> Column:
     """ln a of a term (its hash) for sample k."""
     one, two = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
-    upper = lambda h: (F.shiftrightunsigned(h, 33) + 1).cast("double") / float(1 << 31)
-    lower = lambda h: (h.bitwiseAND((1 << 31) - 1) + 1).cast("double") / float(1 << 31)
-    r = -F.log(upper(one) * lower(one)) + 1e-12
-    c = -F.log(upper(two) * lower(two)) + 1e-12
-    b = F.shiftrightunsigned(one.bitwiseXOR(F.shiftleft(two, 7)), 40).cast("double") / float(1 << 24)
+    # five uniform numbers of bits of their own: 25 each, and 14 of either hash for b
+    part = lambda h, at: (F.shiftrightunsigned(h, at).bitwiseAND((1 << 25) - 1) + 1).cast("double") / float(1 << 25)
+    r = -F.log(part(one, 0) * part(one, 25)) + 1e-12
+    c = -F.log(part(two, 0) * part(two, 25)) + 1e-12
+    b = (F.shiftleft(F.shiftrightunsigned(one, 50), 14) + F.shiftrightunsigned(two, 50)).cast("double") / float(1 << 28)
     return F.log(c) - r * (F.floor(log_w / r + b).cast("double") - b + 1)
 
 
