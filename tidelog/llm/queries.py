@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.simhash_components(table(spark, sf_dir, "documents"), words=3, max_bits=3)
+    return simhash.simhash_components(common.spread(table(spark, sf_dir, "documents")), words=3, max_bits=3)
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,11 +46,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return winnow.decontaminate(common.spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = common.spread(table(spark, sf_dir, "documents"))
     return langid.predict(docs, langid.train(docs))
 
 
@@ -59,7 +59,7 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary())
+    return bpe.encode_decode(common.spread(table(spark, sf_dir, "documents")), vocabulary())
 
 
 def op10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +95,22 @@ best AS (
   FROM judged j JOIN least l ON list_has_all(j.tokens, l.antecedent) WHERE j.fit IS NULL GROUP BY j.page_id)
 SELECT page_id, host, path, fit.rule AS rule, coalesce(fit.verdict, b.v, 'allow') AS verdict, array_to_string(b.a, ' ') AS antecedent, b.c AS confidence
 FROM judged LEFT JOIN best USING (page_id)
+""",
+    "op8_shards": r"""
+WITH RECURSIVE rows AS (
+  SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, ''))::BIGINT + 16 AS size,
+         [('0x' || x)::BIGINT FOR x IN regexp_extract_all(h, '..')] AS bytes
+  FROM (SELECT doc_id, text, hex(encode(coalesce(text, ''))) AS h FROM documents)),
+folds AS (SELECT list(f ORDER BY i) AS t FROM (SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: (xor(a >> 1, (a & 1) * 3988292384))) AS f FROM unnest(generate_series(0, 255)) g(i))),
+summed AS (
+  SELECT r, doc_id, size, CASE WHEN size = 16 THEN 0 ELSE xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295::BIGINT) END::BIGINT AS text_crc32 FROM rows, folds),
+jump(r, k, b, j) AS (
+  SELECT r, (coalesce(doc_id, 0)::HUGEINT + 18446744073709551616::HUGEINT) % 18446744073709551616::HUGEINT, -1::BIGINT, 0::BIGINT FROM summed
+  UNION ALL
+  SELECT r, n, j, floor((j + 1)::DOUBLE * (2147483648::DOUBLE / ((n // 8589934592::HUGEINT) + 1)::DOUBLE))::BIGINT
+  FROM (SELECT r, j, (k * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT AS n FROM jump WHERE j < 41)),
+place AS (SELECT r, max(b) FILTER (b < 40)::INT AS shard, max(b) FILTER (b < 41)::INT AS grown_shard FROM jump GROUP BY r)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM summed JOIN place USING (r)
 """,
     "op6_decontaminate": r"""
 WITH cut AS (
