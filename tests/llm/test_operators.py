@@ -658,6 +658,48 @@ def test_no_pair_within_the_budget_goes_unchecked(spark):
     assert pairs > 20 and at == {k: least[find(k)] for k in range(len(texts))}
 
 
+@pytest.mark.parametrize("groups", [1, 3])
+def test_families_are_joined_across_groups(groups):
+    """The links of all pairs of groups join the parts that brute force over all pairs joins, and no others."""
+    rng = random.Random(59)
+    texts = []
+    for _ in range(12):
+        base = prose(rng, 90, 90000).split()
+        for edits in (0, 1, 2, 9):
+            copy = list(base)
+            for k in rng.sample(range(90), edits):
+                copy[k] = f"e{rng.randrange(90000)}"
+            texts.append(" ".join(copy))
+    texts += ["", " \n", "two words", "Two  words"]
+    n = len(texts)
+    sets = [neardup.distinct_shingles(x, 5) for x in texts]
+    bits = np.stack([neardup.wide_fingerprint(x, 5) for x in texts]).view(np.int64)
+    part = [k - k % 2 if k % 4 < 2 else k for k in range(n)]  # some are joined before
+
+    def joined(links):
+        root = list(range(n))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in [*links, *enumerate(part)]:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return [find(k) for k in range(n)]
+
+    near = lambda a, b: np.bitwise_count((bits[a, :2] ^ bits[b, :2]).view(np.uint64)).sum() <= neardup.HALF_BUDGET
+    brute = [(a, b) for b in range(n) for a in range(b) if near(a, b) and neardup.alike(sets[a], sets[b], 0.8)]
+    rows = [(7, min(k % groups, g), max(k % groups, g), k, part[k], int(k % groups > g), *bits[k, :2].tolist(), texts[k]) for k in range(n) for g in range(groups)]
+    names = ["family", "i", "j", "node", "part", "side", "f0", "f1", "text"]
+    table = pa.table([pa.array(c) for c in zip(*sorted(rows, key=lambda r: r[:4]))], names)
+    out = list(neardup._across(neardup.HALF_BUDGET, 5, 0.8)(iter(table.to_batches(max_chunksize=10))))
+    links = [x for b in out for x in zip(*(c.to_pylist() for c in b.columns))]
+    assert len(out) == groups * (groups + 1) // 2 and all(x in brute for x in links)
+    assert joined(links) == joined(brute) != joined([])
+    assert list(neardup._across(neardup.HALF_BUDGET, 5, 0.8)(iter([]))) == []
+
+
 def test_long_keys_have_minimum_forests(monkeypatch):
     """By blocks of rows, and row by row where pairs are dense: as many pairs, and the same sum of distances."""
     rng = np.random.default_rng(3)
