@@ -658,6 +658,45 @@ def test_no_pair_within_the_budget_goes_unchecked(spark):
     assert pairs > 20 and at == {k: least[find(k)] for k in range(len(texts))}
 
 
+@pytest.mark.parametrize("part", [250_000, 300])
+def test_candidate_pairs_are_a_forest(spark, part, monkeypatch):
+    """A family whose classes share many keys: one pair a class and part, not one a class and key; and it joins what all pairs join."""
+    monkeypatch.setattr(neardup, "FOREST", part, raising=False)
+    rng = np.random.default_rng(61)
+    n = 400
+    prints = np.repeat(rng.integers(0, 1 << 63, (4, 4)), n // 4, axis=0).astype(np.uint64)  # four families
+    prints ^= np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (4, n, 4)).astype(np.uint64))
+    bytes_ = prints.view(np.uint8).reshape(n, 32)
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    pairs = 0
+    for i in range(n):
+        for j in range(i):
+            same = bytes_[i] == bytes_[j]
+            if any((same & np.roll(same, -s)).any() for s in neardup.STEPS) and np.bitwise_count(prints[i, :2] ^ prints[j, :2]).sum() <= neardup.HALF_BUDGET:
+                pairs += 1
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    classes = spark.createDataFrame([(k, *r) for k, r in enumerate(prints.view(np.int64).tolist())], "node bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
+    got = neardup.candidates(classes, neardup.HALF_BUDGET)
+    links = [(r.a, r.b) for r in got.collect()]
+    joined = list(range(n))
+    for a, b in links:
+        joined = [min(joined[a], joined[b]) if x in (joined[a], joined[b]) else x for x in joined]
+    tops = [find(k) for k in range(n)]
+    assert joined == tops and pairs > 5000
+    assert len(links) == n - len(set(tops)) if part > n else len(links) < 5 * n
+    # the joins after it: apart() and merged() agree with plain components of the links
+    start = spark.createDataFrame([(k, k) for k in range(n)], "node bigint, component bigint")
+    half = neardup.merged(start, got.where("a % 2 = 0"))
+    assert neardup.apart(got.where("a % 2 = 0"), half).count() == 0
+    assert {r.node: r.component for r in neardup.merged(half, got).collect()} == dict(enumerate(tops))
+
+
 @pytest.mark.parametrize("groups", [1, 3])
 def test_families_are_joined_across_groups(groups):
     """The links of all pairs of groups join the parts that brute force over all pairs joins, and no others."""
