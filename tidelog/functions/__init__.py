@@ -15,10 +15,16 @@ def internal_key(bucket: Column, key: Column) -> Column:
     return F.concat(bucket, F.lit(NUL), key)
 
 
+#: Texts of up to so many code points are hashed as one sum; the inverse of 31 to the power of a place is the weight of its unit.
+SHORT = 24
+_INVERSE = pow(31, -1, 1 << 32)
+
+
 def _folded(text: Column, start: Column) -> Column:
     """`start` carried on over the UTF-16 units of text: times 31, plus the unit, in 32 bits.
 
-    Code points are UTF-16 units but for supplementary ones, whose texts are read from their UTF-16 bytes.
+    Code points are UTF-16 units but for supplementary ones, whose texts are read from their UTF-16 bytes. A short text is
+    the sum of its units by weight, times 31 to the power of its length: compiled, where a fold is a call for each unit.
     """
     step = lambda a, x: (a * 31 + x).bitwiseAND(0xFFFFFFFF)
     by_point = F.aggregate(F.split(text, ""), start, lambda a, c: step(a, F.ascii(c)))
@@ -26,7 +32,14 @@ def _folded(text: Column, start: Column) -> Column:
     of = lambda u: F.aggregate(F.sequence(F.lit(1), (F.octet_length(u) / 2).cast("int")), start, lambda a, i: step(a, unit(u, i)))
     units = F.encode(text, "UTF-16BE")
     plain = (F.octet_length(text) == F.char_length(text)) | (F.octet_length(units) == 2 * F.char_length(text))
-    return F.when(plain, by_point).otherwise(F.transform(F.array(units), of)[0])
+    # places after the end have no unit (ascii('') is 0); units of 16 bits by weights of 32 and signed factors of 32 bits stay within a long
+    total = start
+    for i in range(1, SHORT + 1):
+        total = total + F.ascii(F.substring(text, i, 1)).cast("bigint") * F.lit(pow(_INVERSE, i, 1 << 32)).cast("bigint")
+    signed = lambda n: (n & 0xFFFFFFFF ^ 1 << 31) - (1 << 31)
+    power = F.array(*[F.lit(signed(pow(31, n, 1 << 32))).cast("bigint") for n in range(SHORT + 1)])[F.char_length(text)]
+    short = ((total.bitwiseAND(0xFFFFFFFF).bitwiseXOR(1 << 31) - (1 << 31)) * power).bitwiseAND(0xFFFFFFFF)
+    return F.when(plain & (F.char_length(text) <= SHORT), short).when(plain, by_point).otherwise(F.transform(F.array(units), of)[0])
 
 
 def java_hash(text: Column, before: Column | None = None) -> Column:

@@ -21,14 +21,15 @@ def live_index(log: DataFrame, payload: dict[str, Column]) -> DataFrame:
     return last.where("x.op = 'PUT'").select("bucket", "key", *[F.col("x")[n].alias(n) for n in payload])
 
 
-def offsets(log: DataFrame, partitions: int = 16) -> DataFrame:
-    """Records with partition_id, record_start, record_length and value_offset in their partition's log.
+def offsets(log: DataFrame, partitions: int = 16, values: bool = False) -> DataFrame:
+    """Records with partition_id, record_start, record_length and value_offset in their partition's log; with their value if asked.
 
-    Running sums of ranges of each partition, so a partition of very many records is many tasks. Values stay behind
-    the shuffle. It is in the shared folder, so several uses read it and compute nothing again.
+    Running sums of ranges of each partition, so a partition of very many records is many tasks. It is in the shared
+    folder, in the log's order by runs, so several uses read it and compute nothing again. Values go through its one shuffle
+    only for those that need them: that is less than a later join with the log, which moves both sides.
     """
     value = F.when(F.col("op") == "PUT", F.col("value"))
-    sized = log.select("bucket", "key", "op", "seq", partition_of(F.col("bucket"), F.col("key"), partitions).alias("partition_id"), record_length(F.col("bucket"), F.col("key"), value).cast("bigint").alias("record_length"), F.octet_length(F.coalesce(value, F.lit(""))).cast("bigint").alias("value_length"))
+    sized = log.select("bucket", "key", "op", "seq", *["value"] * values, partition_of(F.col("bucket"), F.col("key"), partitions).alias("partition_id"), record_length(F.col("bucket"), F.col("key"), value).cast("bigint").alias("record_length"), F.octet_length(F.coalesce(value, F.lit(""))).cast("bigint").alias("value_length"))
     placed = running_total(sized, "partition_id", ["seq", "key"], "record_length", "record_start", "log")
     return placed.withColumn("value_offset", F.col("record_start") + RECORD_HEADER + F.octet_length(internal_key(F.col("bucket"), F.col("key"))))
 

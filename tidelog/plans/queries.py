@@ -19,8 +19,8 @@ def doc_keys(spark, d):
     return src.doc_objects(spark, d).select("bucket", "key", F.octet_length("value").cast("bigint").alias("size"))
 
 
-def items(spark, d):
-    return log.in_segments(log.offsets(src.item_log(spark, d)), CAP)
+def items(spark, d, values=False):
+    return log.in_segments(log.offsets(src.item_log(spark, d), values=values), CAP)
 
 
 def list_delimited(spark, d):

@@ -33,9 +33,8 @@ def query(sql: str):
 
 def item_images(spark, d):
     """The lineitem log as written segments, and its records."""
-    records = q.items(spark, d)
-    whole = records.select("bucket", "key", "seq", "partition_id", "segment_id", "record_start").join(src.item_log(spark, d), ["bucket", "key", "seq"])
-    return saved(segments.images(whole), "images"), records
+    records = q.items(spark, d, values=True)
+    return segments.images(records), records.drop("value")
 
 
 IN_FILE = "record_start - min(record_start) OVER (PARTITION BY partition_id, segment_id)"

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import RECORD_FOOTER, RECORD_HEADER, RECORD_MAGIC
+from tidelog.work import saved
 
 def scan(data: bytes, drop_tail: bool = False):
     """(start, flags, internal key, value, crc) of the records of a segment."""
@@ -78,35 +79,70 @@ def read_segments(spark: SparkSession, path: str, drop_tail: bool = False) -> Da
 def images(records: DataFrame) -> DataFrame:
     """partition_id, segment_id, name, n_records, content (the bytes of its file) of each segment, without gaps.
 
-    records: bucket, key, op, value, partition_id, segment_id, record_start. A task holds one segment, whose size the cap bounds. The
+    records: bucket, key, op, value, partition_id, segment_id, record_start. Each task puts consecutive records of a segment together,
+    and writes such pieces to the shared folder. A piece between two records that touch it and are of other segments
+    is a whole segment; only the other pieces, those at the ends of tasks and of the log and at gaps, are dealt by
+    segment and joined. So records in the log's order, as offsets() has them, go through no shuffle; others do. The
     images are rows, so any store that Spark writes to holds them; read_images() scans them.
     """
+    import numpy as np
     import pyarrow as pa
 
     from tidelog.functions import encode_record, segment_name
 
-    record = encode_record(F.col("bucket"), F.col("key"), F.col("value"), F.col("op") == "DELETE")
-    rows = records.select("partition_id", "segment_id", "record_start", record.alias("record"))
-    rows = rows.repartition("partition_id", "segment_id").sortWithinPartitions("partition_id", "segment_id", "record_start")
-
-    def run(batches):
-        at, parts = None, []
+    fields = ["partition_id", "segment_id", "first", "n_records", "whole", "content"]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
 
-        def out():
-            whole = [(*at, len(parts), b"".join(parts))] if parts else []
-            cols = list(zip(*whole)) if whole else [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.int32(), pa.int64(), pa.binary()])], ["partition_id", "segment_id", "n_records", "content"])
+    def batch_of(rows):
+        cols = list(zip(*rows)) if rows else [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], fields)
 
+    def pieces(batches):
+        at, end, parts, n, first, begun = None, None, [], 0, 0, False  # the open piece: its segment, end, bytes, records, start
+        for batch in batches:
+            rows = batch.num_rows
+            if not rows:
+                continue
+            p, s, start = (batch.column(c).to_numpy() for c in ("partition_id", "segment_id", "record_start"))
+            record = batch.column("record").cast(pa.large_binary())
+            if record.null_count:
+                raise ValueError("a record without bucket or key")
+            offsets = np.frombuffer(record.buffers()[1], np.int64)[record.offset : record.offset + rows + 1]
+            data, ends = memoryview(record.buffers()[2]), start + np.diff(offsets)
+            touches = np.concatenate(([at is not None and at[0] == p[0] and end == start[0]], (p[1:] == p[:-1]) & (ends[:-1] == start[1:])))
+            same = touches & np.concatenate(([at is not None and at[1] == s[0]], s[1:] == s[:-1]))
+            cuts = [0, *(np.flatnonzero(~same[1:]) + 1).tolist(), rows]
+            closed = []
+            for i, j in zip(cuts, cuts[1:]):
+                if not same[i]:
+                    if n:
+                        closed.append((*at, first, n, begun and bool(touches[i]), b"".join(parts)))
+                    at, parts, n, first, begun = (p[i], s[i]), [], 0, int(start[i]), bool(touches[i]) or start[i] == 0
+                parts.append(bytes(data[offsets[i] : offsets[j]]))
+                n += j - i
+            end = int(ends[-1])
+            yield batch_of(closed)
+        yield batch_of([(*at, first, n, False, b"".join(parts))] if n else [])
+
+    def joined(batches):
+        at, n, parts = None, 0, []
         for batch in batches:
-            for p, s, r in zip(*(batch.column(c).to_pylist() for c in ("partition_id", "segment_id", "record"))):
+            closed = []
+            for p, s, k, part in zip(*(batch.column(c).to_pylist() for c in ("partition_id", "segment_id", "n_records", "content"))):
                 if (p, s) != at:
-                    if parts:
-                        yield out()
-                    at, parts = (p, s), []
-                parts.append(r)
-        yield out()
-
-    made = rows.select("partition_id", "segment_id", "record").mapInArrow(run, "partition_id int, segment_id int, n_records bigint, content binary")
+                    if n:
+                        closed.append((*at, 0, n, True, b"".join(parts)))
+                    at, n, parts = (p, s), 0, []
+                n += k
+                parts.append(part)
+            yield batch_of(closed)
+        yield batch_of([(*at, 0, n, True, b"".join(parts))] if n else [])
+
+    schema = "partition_id int, segment_id int, first bigint, n_records bigint, whole boolean, content binary"
+    record = encode_record(F.col("bucket"), F.col("key"), F.col("value"), F.col("op") == "DELETE")
+    written = saved(records.select("partition_id", "segment_id", "record_start", record.alias("record")).mapInArrow(pieces, schema), "images")
+    rest = written.where("not whole").repartition("partition_id", "segment_id").sortWithinPartitions("partition_id", "segment_id", "first")
+    made = written.where("whole").unionByName(rest.mapInArrow(joined, schema))
     return made.select("partition_id", "segment_id", segment_name(F.col("segment_id")).alias("name"), "n_records", "content")
 
 
