@@ -1,6 +1,7 @@
 """Steps that the queries on written segments share."""
 
 import random
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -49,3 +50,14 @@ def test_images_of_records_with_gaps_and_in_any_order(spark):
     assert sorted((r.partition_id, r.segment_id, bytes(r.content)) for r in segments.images(mixed).collect()) == want
     back = segments.read_images(segments.images(mixed))
     assert back.count() == records.count() and back.select("partition_id", "segment_id").distinct().count() == len(want)
+
+
+def test_scans_hand_on_parts_of_large_segments(spark, monkeypatch):
+    df = spark.createDataFrame([("b", f"k{i}é", "x" * (i % 50), i % 7 == 0) for i in range(100)], "bucket string, key string, value string, gone boolean").coalesce(1)
+    data = b"".join(bytes(r.r) for r in df.select(fn.encode_record(F.col("bucket"), F.col("key"), F.col("value"), F.col("gone")).alias("r")).collect())
+    files = spark.createDataFrame([(1, 1, data), (1, 2, b""), (1, 3, data[:-5])], "partition_id int, segment_id int, content binary").coalesce(1)
+    monkeypatch.setattr(segments, "ROWS", 9)
+    got = [(r.segment_id, r.record_start, r.flags, r.bucket, r.key, bytes(r.value), r.crc) for r in segments.read_images(files, drop_tail=True).collect()]
+    want = [(s, at, flags, *key.split("\0", 1), value, crc) for s, d in ((1, data), (3, data[:-5])) for at, flags, key, value, crc in segments.scan(d, drop_tail=True)]
+    assert got == want and len(got) == 199
+    assert want[1][-1] == zlib.crc32(b"\0" + "b\0k1é".encode() + b"x")

@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from tidelog.functions import RECORD_FOOTER, RECORD_HEADER, RECORD_MAGIC
 from tidelog.work import saved
 
-def scan(data: bytes, drop_tail: bool = False):
-    """(start, flags, internal key, value, crc) of the records of a segment."""
-    at = 0
-    while at < len(data):
-        if len(data) - at < RECORD_HEADER:
+def _records(data: bytes, drop_tail: bool = False):
+    """(start, flags, start of the name, its length, that of the value, crc) of the records of a segment, each checked."""
+    at, view, size = 0, memoryview(data), len(data)
+    while at < size:
+        if size - at < RECORD_HEADER:
             if drop_tail:
                 return
             raise ValueError(f"record cut short at {at}")
@@ -27,45 +27,87 @@ def scan(data: bytes, drop_tail: bool = False):
         if magic != RECORD_MAGIC:
             raise ValueError(f"bad magic number at {at}")
         body = at + RECORD_HEADER
-        end = body + n_key + n_value + RECORD_FOOTER
-        if end > len(data):
+        foot = body + n_key + n_value
+        if foot + RECORD_FOOTER > size:
             if drop_tail:
                 return
             raise ValueError(f"record cut short at {at}")
-        key, value = data[body : body + n_key], data[body + n_key : end - RECORD_FOOTER]
-        if zlib.crc32(bytes([flags]) + key + value) != crc or struct.unpack_from(">I", data, end - RECORD_FOOTER)[0] != crc:
+        if zlib.crc32(view[body:foot], FLAG_CRC[flags]) != crc or struct.unpack_from(">I", data, foot)[0] != crc:
             raise ValueError(f"bad check sum at {at}")
-        yield at, flags, key.decode(), value, crc
-        at = end
+        yield at, flags, body, n_key, n_value, crc
+        at = foot + RECORD_FOOTER
+
+
+def scan(data: bytes, drop_tail: bool = False):
+    """(start, flags, internal key, value, crc) of the records of a segment."""
+    for at, flags, body, n_key, n_value, crc in _records(data, drop_tail):
+        yield at, flags, data[body : body + n_key].decode(), data[body + n_key : body + n_key + n_value], crc
 
 
+#: The check sum of each flag, which those of records go on from.
+FLAG_CRC = [zlib.crc32(bytes([f])) for f in range(256)]
 #: Records, and bytes of values, that a scan hands on at once.
 ROWS, BYTES = 10_000, 1 << 22
 
 
+def _columns(data: bytes, found: list):
+    """Arrays record_start, flags, bucket, key, value, crc of records found in data by _records(): bytes are gathered, not cut one by one."""
+    import numpy as np
+    import pyarrow as pa
+
+    start, flags, body, n_key, n_value, crc = np.array(found, np.int64).T
+    raw = np.frombuffer(data, np.uint8)
+
+    def gathered(kind, first, n):
+        offsets = np.concatenate(([0], np.cumsum(n)))
+        places = np.arange(offsets[-1]) + np.repeat(first - offsets[:-1], n)
+        return pa.Array.from_buffers(kind, len(n), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw[places])])
+
+    nul = np.flatnonzero(raw == 0)
+    cut = nul[np.minimum(np.searchsorted(nul, body), len(nul) - 1)] if len(nul) else body - 1
+    if ((cut < body) | (cut >= body + n_key)).any():
+        raise ValueError("a name without a bucket")
+    bucket, key = gathered(pa.string(), body, cut - body), gathered(pa.string(), cut + 1, body + n_key - cut - 1)
+    bucket.validate(full=True)
+    key.validate(full=True)
+    return [pa.array(start), pa.array(flags, pa.int64()).cast(pa.int32()), bucket, key, gathered(pa.binary(), body + n_key, n_value), pa.array(crc)]
+
+
 def _scanned(files: DataFrame, names: list[str], kinds: str, drop_tail: bool) -> DataFrame:
     """The records of the segments in column content, after the named columns of their rows."""
     import pyarrow as pa
 
-    types = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.binary(), pa.int64()]
     fields = ["record_start", "flags", "bucket", "key", "value", "crc"]
 
     def run(batches):
         for batch in batches:
-            for at in range(batch.num_rows):
-                one, rows, held = batch.slice(at, 1), [], 0
+            made, of, held = [], [], [0, 0]  # columns of records, the rows they are from, records and bytes held
 
-                def out():
-                    of = pa.array([0] * len(rows), pa.int64())
-                    cols = list(zip(*rows)) if rows else [()] * 6
-                    return pa.RecordBatch.from_arrays([*(one.column(n).take(of) for n in names), *(pa.array(c, t) for c, t in zip(cols, types))], [*names, *fields])
+            def out():
+                cols = [pa.concat_arrays(c) for c in zip(*made)]
+                rows = pa.concat_arrays(of)
+                made.clear(), of.clear()
+                held[:] = 0, 0
+                return pa.RecordBatch.from_arrays([*(batch.column(n).take(rows) for n in names), *cols], [*names, *fields])
 
-                for start, flags, key, value, crc in scan(one.column("content")[0].as_py(), drop_tail):
-                    rows.append((start, flags, *key.split("\0", 1), value, crc))
-                    held += len(value)
-                    if len(rows) >= ROWS or held >= BYTES:
+            for at in range(batch.num_rows):
+                data, found = batch.column("content")[at].as_py(), []
+
+                def add():
+                    made.append(_columns(data, found))
+                    of.append(pa.repeat(pa.scalar(at, pa.int64()), len(found)))
+                    found.clear()
+
+                for record in _records(data, drop_tail):
+                    found.append(record)
+                    held[0] += 1
+                    held[1] += record[4]
+                    if held[0] >= ROWS or held[1] >= BYTES:
+                        add()
                         yield out()
-                        rows, held = [], 0
+                if found:
+                    add()
+            if made:
                 yield out()
 
     return files.select(*names, "content").mapInArrow(run, f"{kinds}, record_start bigint, flags int, bucket string, key string, value binary, crc bigint")
