@@ -61,3 +61,13 @@ def test_scans_hand_on_parts_of_large_segments(spark, monkeypatch):
     want = [(s, at, flags, *key.split("\0", 1), value, crc) for s, d in ((1, data), (3, data[:-5])) for at, flags, key, value, crc in segments.scan(d, drop_tail=True)]
     assert got == want and len(got) == 199
     assert want[1][-1] == zlib.crc32(b"\0" + "b\0k1é".encode() + b"x")
+
+
+def test_an_export_and_the_log_before_it_are_the_whole_log(spark):
+    records = log.in_segments(log.offsets(sources.item_log(spark, SF)), 4096)
+    place = lambda df: sorted(tuple(r) for r in df.select("partition_id", "record_start").collect())
+    for segment in (3, 999):
+        mine, later = log.before_offset(records, segment, 9000), log.from_offset(records, segment, 9000)
+        assert place(mine) + place(later) != place(records) or segment == 999
+        assert sorted(place(mine) + place(later)) == place(records)
+        assert place(log.imported(records, later)) == place(records)

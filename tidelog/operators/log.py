@@ -77,11 +77,21 @@ def rolled(records: DataFrame, cap: int) -> DataFrame:
     return narrow.mapInArrow(run, "partition_id int, segment_id int, n_records bigint, size bigint")
 
 
+def _exported(records: DataFrame, segment: int, offset: int) -> DataFrame:
+    """records with _later: whether an export from (segment, offset) has them. An unknown start segment means all."""
+    known = records.agg(F.coalesce(F.bool_or(F.col("segment_id") == segment), F.lit(False)).alias("_known"))  # one row
+    later = (F.col("segment_id") > segment) | ((F.col("segment_id") == segment) & (F.col("record_start") >= offset))
+    return records.join(F.broadcast(known)).withColumn("_later", later | ~F.col("_known")).drop("_known")
+
+
 def from_offset(records: DataFrame, segment: int, offset: int) -> DataFrame:
     """The records at or after (segment, offset): an incremental export. An unknown start segment means all."""
-    known = records.agg(F.coalesce(F.bool_or(F.col("segment_id") == segment), F.lit(False)).alias("known"))  # one row
-    later = (F.col("segment_id") > segment) | ((F.col("segment_id") == segment) & (F.col("record_start") >= offset))
-    return records.join(F.broadcast(known)).where(later | ~F.col("known")).drop("known")
+    return _exported(records, segment, offset).where("_later").drop("_later")
+
+
+def before_offset(records: DataFrame, segment: int, offset: int) -> DataFrame:
+    """The other records: the log of a follower that asks for an export from (segment, offset)."""
+    return _exported(records, segment, offset).where("not _later").drop("_later")
 
 
 def imported(mine: DataFrame, later: DataFrame) -> DataFrame:

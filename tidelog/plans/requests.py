@@ -366,13 +366,11 @@ def peer_list(spark, d):
 @query(o.live(o.ITEM, o.ITEM_SEQ))
 def sync_import(spark, d):
     """A follower that has the log up to an offset, and imports what is exported from there on."""
-    records = q.items(spark, d)
-    later = log.from_offset(records, 3, 2 * q.CAP + 100)
-    mine = records.join(later.select("partition_id", "record_start"), ["partition_id", "record_start"], "left_anti")
-    both = log.imported(mine, later)
-    index = compaction.index_of(both.withColumn("segment_id", F.lit(0)))
-    spots = index.join(both, ["bucket", "key", "partition_id", "value_offset"]).select("bucket", "key", "seq")
-    return spots.join(src.item_log(spark, d), ["bucket", "key", "seq"]).select("bucket", "key", F.octet_length("value").cast("bigint").alias("size"), F.md5("value").alias("value_md5"))
+    records = q.items(spark, d, values=True)
+    at = (3, 2 * q.CAP + 100)
+    both = log.imported(log.before_offset(records, *at), log.from_offset(records, *at))
+    index = log.live_index(both.withColumn("seq", F.col("record_start")), {"value": F.col("value")})
+    return index.select("bucket", "key", F.octet_length("value").cast("bigint").alias("size"), F.md5("value").alias("value_md5"))
 
 
 LIVE_EVENTS = o.live(o.EVENT, "event_id")
