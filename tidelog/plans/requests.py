@@ -73,9 +73,10 @@ def get_object(spark, d):
     """Every key that ever was, and as many that never were, read through the index from written segments."""
     files, records = item_images(spark, d)
     first = records.groupBy("partition_id", "segment_id").agg(F.min("record_start").alias("first"))
-    spots = records.groupBy("bucket", "key").agg(*[F.max_by(c, "record_start").alias(c) for c in ("partition_id", "segment_id", "op")], F.max("record_start").alias("at")).where("op = 'PUT'")
-    index = spots.join(first, ["partition_id", "segment_id"]).withColumn("record_start", F.col("at") - F.col("first"))
-    real = records.select("bucket", "key").distinct()
+    # a key's records are in one partition, whose segments grow along with record_start
+    keys = saved(records.groupBy("bucket", "key").agg(*[F.max(c).alias(c) for c in ("partition_id", "segment_id")], F.max("record_start").alias("at"), F.max_by(F.col("op") == "PUT", "record_start").alias("live")), "keys")
+    index = keys.where("live").join(first, ["partition_id", "segment_id"]).withColumn("record_start", F.col("at") - F.col("first"))
+    real = keys.select("bucket", "key")
     asked = real.unionByName(real.withColumn("key", F.concat("key", F.lit("/none"))))
     return store.get(asked, index, segments.read_images(files)).drop("value")
 
