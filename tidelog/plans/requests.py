@@ -105,10 +105,8 @@ def segment_membership(spark, d):
 @query(o.live(o.ITEM, o.ITEM_SEQ))
 def rebuild_compacted(spark, d):
     """The live index rebuilt from the segments that a compaction has written."""
-    records = q.items(spark, d)
-    left = compaction.compacted(records).select("bucket", "key", "seq", "partition_id", "segment_id", "record_start")
-    whole = left.join(src.item_log(spark, d), ["bucket", "key", "seq"])
-    back = segments.read_images(segments.images(whole))
+    records = q.items(spark, d, values=True)
+    back = segments.read_images(segments.images(compaction.compacted(records)))
     back = back.select("bucket", "key", F.when(F.col("flags") == 1, "DELETE").otherwise("PUT").alias("op"), "value", F.struct("partition_id", "segment_id", "record_start").alias("seq"))
     return log.live_index(back, {"size": F.octet_length("value").cast("bigint"), "value_md5": F.md5("value")})
 
