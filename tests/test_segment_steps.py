@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelog import functions as fn
 from tidelog import sources, work
-from tidelog.operators import log
+from tidelog.operators import compaction, log
 from tidelog.sources import segments
 from tidelog.work import saved
 
@@ -71,3 +71,9 @@ def test_an_export_and_the_log_before_it_are_the_whole_log(spark):
         assert place(mine) + place(later) != place(records) or segment == 999
         assert sorted(place(mine) + place(later)) == place(records)
         assert place(log.imported(records, later)) == place(records)
+
+
+def test_index_takes_one_ordered_column(spark):
+    index = compaction.index_of(log.in_segments(log.offsets(sources.item_log(spark, SF)), 4096))
+    plan = index._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("max_by(") == 1

@@ -11,11 +11,12 @@ ENTRY = ("partition_id", "segment_id", "value_offset", "value_length")
 def index_of(records: DataFrame) -> DataFrame:
     """bucket, key, partition_id, segment_id, value_offset, value_length of every live key.
 
-    A key's records are in one partition, where the log's order is that of record_start: numbers alone, which aggregate
-    by hash before the shuffle.
+    A key's records are in one partition, where the log's order is that of record_start, and segments and places in it grow
+    along: the last record's are the greatest. Numbers alone, few of them, which aggregate by hash before the shuffle.
     """
-    last = [F.max_by(c, "record_start").alias(c) for c in ENTRY]
-    return records.groupBy("bucket", "key").agg(*last, F.max_by(F.col("op") == "PUT", "record_start").alias("live")).where("live").drop("live")
+    last = [F.max(c).alias(c) for c in ENTRY[:3]]
+    length = F.max_by(F.when(F.col("op") == "PUT", F.col("value_length")), "record_start").alias("value_length")  # null: deleted last
+    return records.groupBy("bucket", "key").agg(*last, length).where("value_length is not null")
 
 
 def live_bytes(records: DataFrame) -> DataFrame:
